@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmill.llm import byte_bpe
+from inkmill.llm import byte_bpe, packing
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,10 @@ _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# ASCII letters and digits, ASCII signs other than the apostrophe, and all else
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[b for b in range(128) if chr(b).isalnum()]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -44,10 +48,11 @@ class Words:
     """The words of a batch of texts.
 
     ``hash[i]`` identifies word i, ``start``/``end`` are byte offsets in ``buf``; the words of text t
-    are ``first[t]:first[t + 1]``.  None counts as an empty text.
+    are ``first[t]:first[t + 1]``.  None counts as an empty text.  With ``parts`` words are cut further
+    between an ASCII letter or digit and an ASCII sign other than the apostrophe.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, parts: bool = False):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         lengths = np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw))
         self.buf = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
@@ -57,6 +62,11 @@ class Words:
         sep = _SEP[self.buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
+        if parts:
+            kind = _KIND[self.buf]
+            cut = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1  # 1 beside 2
+            cut = cut[~sep[cut] & ~sep[cut - 1]]
+            self.start, self.end = np.sort(np.concatenate((self.start, cut))), np.sort(np.concatenate((self.end, cut)))
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends)))
         if len(raw) == 0:
             self.start = self.end = np.zeros(0, dtype=np.int64)
