@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkmill.llm import byte_bpe, packing
+from inkmill.llm import byte_bpe, language_id, packing
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fold(parts: int):
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
+    model = language_id.train(docs.where(_fold(3) != 1).select("text", "lang", draw))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, keep_ids=False)
@@ -23,6 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
