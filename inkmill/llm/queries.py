@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import byte_bpe, language_id, packing
+from inkmill.llm import byte_bpe, fingerprints, language_id, packing, pii
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read_table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, keep_ids=False)
@@ -37,6 +45,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_pii": op5_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
