@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import byte_bpe, fingerprints, language_id, packing, pii
+from inkmill.llm import ann, byte_bpe, fingerprints, language_id, packing, pii
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN, keep_ids=False)
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
+    "op8_multi_index": op8_multi_index,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
 }
