@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, language_id, packing, pii
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
+    "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
     "op8_multi_index": op8_multi_index,
