@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii, toxicity
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(_fold(5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_multi_index": op8_multi_index,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,

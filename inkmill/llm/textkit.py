@@ -44,6 +44,15 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return table
 
 
+def span_hash(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the values in each span start:end, wherever it lies."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value * _power("up", _BASE, len(value))[: len(value)], dtype=np.uint64)))
+    h = (total[end] - total[start]) * _power("down", _BASE_INV, len(value))[start]
+    return mix(h ^ (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -68,15 +77,7 @@ class Words:
             cut = cut[~sep[cut] & ~sep[cut - 1]]
             self.start, self.end = np.sort(np.concatenate((self.start, cut))), np.sort(np.concatenate((self.end, cut)))
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends)))
-        if len(raw) == 0:
-            self.start = self.end = np.zeros(0, dtype=np.int64)
-            self.hash = np.zeros(0, dtype=np.uint64)
-            return
-        value = _BYTE[self.buf]
-        value *= _power("up", _BASE, len(value))[: len(value)]
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value, dtype=np.uint64)))
-        h = (total[self.end] - total[self.start]) * _power("down", _BASE_INV, len(value))[self.start]
-        self.hash = mix(h ^ (self.end - self.start).astype(np.uint64))
+        self.hash = span_hash(_BYTE[self.buf], self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
