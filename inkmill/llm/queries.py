@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii, toxicity
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii, substring_dedup, toxicity
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs, width=13, keep_text=False).drop("text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(_fold(5) != 0)
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_multi_index": op8_multi_index,
     "op9_byte_bpe": op9_byte_bpe,
