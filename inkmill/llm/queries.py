@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, language_id, packing, pii, substring_dedup, toxicity
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, jaccard_join, language_id, packing, pii, substring_dedup, toxicity
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
