@@ -251,6 +251,15 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return digest.join(by_node, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each class stays: that of the least
+    doc_id, and of rows that repeat it one."""
+    found = classes(docs, words, percent).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__ink_id"), F.col("th").alias("__ink_th")).distinct()
+    own = docs.withColumn("__ink_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(found, (own["__ink_own"] == found["__ink_th"]) & own["doc_id"].cast("long").eqNullSafe(found["__ink_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__ink_own"]).drop("__ink_own")
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only the graph of the components that they connect is searched."""
     for end in ("a", "b"):

@@ -131,6 +131,19 @@ class ToxicityModel:
         vote = np.exp(-(1 - np.minimum(score, 1)) / self.width)
         return float((vote @ self.labels[found] + self.prior * self.rate) / (vote.sum() + self.prior)), found, score
 
+    def scores(self, texts: list[str | None]) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """Calibrated score and neighbours (example number, cosine) of each text."""
+        nothing = self.calibrated(self.raw((np.zeros(0, np.int64), np.zeros(0)))[0])
+        scores, near = [], []
+        for a, b in slices([len(t or "") for t in texts]):
+            hashed, first = terms(texts[a:b])
+            for x, y in zip(first[:-1], first[1:]):
+                vector = self.vector(hashed[x:y])
+                raw, found, cosine = self.raw(vector) if len(vector[0]) else (None, (), ())
+                scores.append(nothing if raw is None else self.calibrated(raw))
+                near.append(list(zip(found, cosine)))
+        return scores, near
+
     def calibrated(self, raw: float) -> float:
         return float(np.clip(np.interp(raw, self.steps, self.values), 0, 1))
 
@@ -219,22 +232,23 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        nothing = m.calibrated(m.raw((np.zeros(0, np.int64), np.zeros(0)))[0])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores, why = [], []
-            for a, b in slices([len(t or "") for t in texts]):
-                hashed, first = terms(texts[a:b])
-                for x, y in zip(first[:-1], first[1:]):
-                    vector = m.vector(hashed[x:y])
-                    if not len(vector[0]):
-                        scores.append(nothing)
-                        why.append([])
-                        continue
-                    raw, found, cosine = m.raw(vector)
-                    scores.append(m.calibrated(raw))
-                    why.append([{"doc_id": int(m.doc_ids[e]), "cosine": float(c), "toxic": int(m.labels[e])} for e, c in zip(found[:evidence], cosine[:evidence])])
+            scores, near = m.scores(batch.column(1).to_pylist())
+            why = [[{"doc_id": int(m.doc_ids[e]), "cosine": float(c), "toxic": int(m.labels[e])} for e, c in n[:evidence]] for n in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(why, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
     ddl = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ddl)
+
+
+def keep(docs: DataFrame, model: ToxicityModel, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores less than ``below``."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([s < below for s in shared.value.scores(batch.column(at).to_pylist())[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
