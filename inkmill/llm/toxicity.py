@@ -2,9 +2,9 @@
 
 Fitting takes a bounded, uniform sample of labelled rows (``sample``).  Terms are words and the byte
 5-grams in them (a blank at either end), hashed.  Most terms of a text say nothing about the label and
-would drown a cosine, so the vocabulary is those terms whose document counts differ between the two
-labels by a likelihood-ratio statistic beyond what chance gives for as many terms tried, at most
-``vocabulary`` of them.  Examples are weighted (1 + ln tf) * idf over it, with unit length.
+would drown a cosine, so the vocabulary is those terms that toxic examples hold at three times the
+overall rate at least and by a likelihood-ratio statistic beyond what chance gives for as many terms
+tried, at most ``vocabulary`` of them.  Examples are weighted (1 + ln tf) * idf over it, with unit length.
 
 The index keeps each term's postings in blocks of example numbers with the greatest weight in each.  A
 text's blocks are read in order of their upper bound until no block can hold a better neighbour, so
@@ -85,15 +85,19 @@ class BlockMax:
             bound[self.block[a:b]] += w * self.most[a:b]
             for i in range(a, b):
                 parts.setdefault(int(self.block[i]), []).append((i, w))
+        bound = np.round(bound + 1e-12, 9)  # cosines count to nine places; no bound is below its block's
         order = np.argsort(-bound, kind="stable")
         found, score = np.zeros(0, np.int64), np.zeros(0)
         for block in order.tolist():
-            if bound[block] <= 0 or (len(score) == k and bound[block] < score[-1] - 1e-12):
+            if bound[block] <= 0 or (len(score) == k and bound[block] < score[-1]):
                 break
+            if len(score) == k and bound[block] == score[-1] and block * BLOCK > found[-1]:
+                continue  # at best a tie with a greater number
             total = np.zeros(BLOCK)
             for i, w in parts[block]:
                 a, b = self.first[i], self.first[i + 1]
                 total[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
+            total = np.round(total, 9)
             own = np.flatnonzero(total > 0)
             own = own[own + block * BLOCK != leave]
             found, score = np.concatenate((found, own + block * BLOCK)), np.concatenate((score, total[own]))
@@ -134,14 +138,17 @@ class ToxicityModel:
     def scores(self, texts: list[str | None]) -> tuple[list[float], list[list[tuple[int, float]]]]:
         """Calibrated score and neighbours (example number, cosine) of each text."""
         nothing = self.calibrated(self.raw((np.zeros(0, np.int64), np.zeros(0)))[0])
-        scores, near = [], []
+        scores, near, known = [], [], {}
         for a, b in slices([len(t or "") for t in texts]):
             hashed, first = terms(texts[a:b])
             for x, y in zip(first[:-1], first[1:]):
                 vector = self.vector(hashed[x:y])
-                raw, found, cosine = self.raw(vector) if len(vector[0]) else (None, (), ())
-                scores.append(nothing if raw is None else self.calibrated(raw))
-                near.append(list(zip(found, cosine)))
+                key = vector[0].tobytes() + vector[1].tobytes()
+                if key not in known:  # copies are looked up once
+                    raw, found, cosine = self.raw(vector) if len(vector[0]) else (None, (), ())
+                    known[key] = nothing if raw is None else self.calibrated(raw), list(zip(found, cosine))
+                scores.append(known[key][0])
+                near.append(known[key][1])
         return scores, near
 
     def calibrated(self, raw: float) -> float:
@@ -192,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: in
     tried, rows = 0, []
     if 0 < positive < size:
         scored = counts.withColumn("g2", F.expr(g2))
-        top = scored.where(f"g2 > 15 and (dt / df > 3 * {rate}D or dt / df < {rate / 3}D)").orderBy(F.desc("g2"), "term").limit(vocabulary).collect()
+        top = scored.where(f"g2 > 15 and dt / df > 3 * {rate}D").orderBy(F.desc("g2"), "term").limit(vocabulary).collect()
         tried = max(2, counts.count())
         rows = [r for r in top if r["g2"] > 2 * np.log(tried)]
     order = np.argsort(np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)) if rows else []
