@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import symbol_size
@@ -93,8 +94,6 @@ def node_symbol_size(spark, d):
 @query("SELECT coalesce(p_type, 'unknown') AS category, min(p_partkey) AS first_seq, row_number() OVER (ORDER BY min(p_partkey)) AS pos FROM part GROUP BY 1")
 def distinct_categories(spark, d):
     first = raw_nodes(spark, d).groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.min("seq").alias("first_seq"))
-    from pyspark.sql import Window
-
     return first.withColumn("pos", F.row_number().over(Window.orderBy("first_seq")).cast("long"))
 
 
@@ -121,7 +120,7 @@ def tfidf_fit(spark, d):
 
 def _weights(spark, d):
     texts = _texts(spark, d)
-    vocabulary = embed.tfidf_fit(texts)
+    vocabulary = embed.tfidf_fit(texts).persist()  # 384 rows, read twice or more
     return texts, vocabulary, embed.tfidf_transform(texts, vocabulary)
 
 
@@ -155,9 +154,10 @@ def align_summary(spark, d):
 
 
 def _decisions(spark, d):
+    """Decisions on the pairs, kept (executors' memory, then disk) as several figures read them."""
     own = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("definition"))
     pairs = _pairs(spark, d).select(F.col("id1").cast("string").alias("node1_id"), F.col("id2").cast("string").alias("node2_id"), F.round("similarity", 6).alias("confidence"))
-    return integrate.decide(pairs, own)
+    return integrate.decide(pairs, own).persist()
 
 
 _DECISIONS = f"""{_PAIRS},
