@@ -41,7 +41,8 @@ ANCHOR = 6
 SLICE = 6_000_000
 _ASK, _AT, _HASH = 0, 1, 2  # a record for a shard; places of windows; hashes of cells or windows
 _MESSAGE = "shard long, kind int, key long, th long, keys binary, ths binary, data binary, owner binary"
-_FLAG = "key long, th long, kind int, data binary"
+_REPLY = "bucket long, kind int, keys binary, ths binary, sizes binary, data binary"
+_FLAGS = "__ink_key long, __ink_th long, __ink_at binary, __ink_hash binary"
 
 
 def _windows(texts: list[str | None], width: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,47 +131,82 @@ def _asked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
-def _answer(value: np.ndarray, key: np.ndarray, th: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((value, th, key))
-    value, key, th = value[order], key[order], th[order]
+def _by_row(key: np.ndarray, th: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each row's stretch in arrays that are ordered by key and th."""
     begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (th[1:] != th[:-1]))))
-    data = [pack(np.unique(value[a:b]), True) for a, b in zip(begins.tolist(), np.append(begins[1:], len(key)).tolist())]
-    return pd.DataFrame({"key": key[begins], "th": th[begins], "kind": np.full(len(begins), _HASH, np.int32), "data": data})
+    return list(zip(begins.tolist(), np.append(begins[1:], len(key)).tolist()))
 
 
-def _merge(exact: bool):
+def _replies(shards: int, value: np.ndarray, key: np.ndarray, th: np.ndarray) -> list[tuple]:
+    """What a shard tells its rows, packed by the bucket of each row."""
+    bucket = (key ^ th) % shards
+    order = np.lexsort((value, th, key, bucket))
+    value, key, th, bucket = value[order], key[order], th[order], bucket[order]
+    begins = _first_of(bucket)
+    out = []
+    for a, b in zip(begins.tolist(), np.append(begins[1:], len(bucket)).tolist()):
+        spans = np.array(_by_row(key[a:b], th[a:b]))
+        out.append((int(bucket[a]), _HASH, pack(key[a:b][spans[:, 0]].view(np.uint64)), pack(th[a:b][spans[:, 0]].view(np.uint64)), pack(spans[:, 1] - spans[:, 0]), pack(value[a:b])))
+    return out
+
+
+def _merge(shards: int, exact: bool):
     """Merge a shard's records; pass on what slices settled.  Sketch: a cell of two documents is
     reported to all; exact: a window is reported to documents other than its smallest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed = pdf[pdf["kind"] != _ASK][["key", "th", "kind", "data"]]
+        passed = pdf[pdf["kind"] != _ASK]
+        one = pack(np.ones(1, np.uint64))
+        out = [((k ^ t) % shards, _AT, pack(np.array([k]).view(np.uint64)), pack(np.array([t]).view(np.uint64)), one, d) for k, t, d in zip(passed["key"], passed["th"], passed["data"])]
         value, key, th, wanted = _asked(pdf[pdf["kind"] == _ASK])
-        if not len(value):
-            return passed
-        order = np.lexsort((key, value))
-        value, key, th, wanted = value[order], key[order], th[order], wanted[order]
-        begins = _first_of(value)
-        size = np.diff(np.append(begins, len(value)))
-        told = key > np.repeat(key[begins], size) if exact else wanted & np.repeat(size > 1, size)
-        return pd.concat([passed, _answer(value[told], key[told], th[told])], ignore_index=True)
+        if len(value):
+            order = np.lexsort((key, value))
+            value, key, th, wanted = value[order], key[order], th[order], wanted[order]
+            begins = _first_of(value)
+            size = np.diff(np.append(begins, len(value)))
+            told = key > np.repeat(key[begins], size) if exact else wanted & np.repeat(size > 1, size)
+            out += _replies(shards, value[told], key[told], th[told])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _REPLY.split(", ")])
 
     return run
 
 
-def _flagged(flags: list[dict] | None, hashes: np.ndarray) -> np.ndarray:
-    """Which windows of one text the flags name, by place or by hash."""
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All replies to the rows of a bucket: one record a row."""
+    at: dict[tuple[int, int], np.ndarray] = {}
+    parts = []
+    for kind, keys, ths, sizes, data in zip(pdf["kind"], pdf["keys"], pdf["ths"], pdf["sizes"], pdf["data"]):
+        key, th = unpack(keys).view(np.int64), unpack(ths).view(np.int64)
+        if kind == _AT:
+            row = (int(key[0]), int(th[0]))
+            places = unpack(data, True)
+            at[row] = np.union1d(at[row], places) if row in at else places
+        else:
+            n = unpack(sizes).astype(np.int64)
+            parts.append((unpack(data), np.repeat(key, n), np.repeat(th, n)))
+    hashes: dict[tuple[int, int], bytes] = {}
+    if parts:
+        value, key, th = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((value, th, key))
+        value, key, th = value[order], key[order], th[order]
+        hashes = {(int(key[a]), int(th[a])): pack(np.unique(value[a:b]), True) for a, b in _by_row(key, th)}
+    rows = [(*row, pack(at[row], True) if row in at else None, hashes.get(row)) for row in dict.fromkeys([*at, *hashes])]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _FLAGS.split(", ")])
+
+
+def _flagged(at: bytes | None, hash_: bytes | None, hashes: np.ndarray) -> np.ndarray:
+    """Which windows of one text are named, by place or by hash."""
     hit = np.zeros(len(hashes), dtype=bool)
-    for f in flags or ():
-        v = unpack(f["data"], True)
-        if f["kind"] == _AT:
-            hit[v.astype(np.int64)] = True
-        elif len(v):
-            hit |= v[np.minimum(np.searchsorted(v, hashes), len(v) - 1)] == hashes
+    if at is not None:
+        hit[unpack(at, True).astype(np.int64)] = True
+    if hash_ is not None:
+        v = unpack(hash_, True)
+        hit |= v[np.minimum(np.searchsorted(v, hashes), len(v) - 1)] == hashes
     return hit
 
 
 def _exact(shards: int, width: int):
-    """(key, th, text, flags) -> messages: windows estimated repeated, and what the slice settles itself."""
+    """(key, th, text, places, cells) -> messages: windows estimated repeated, and what the slice settles itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +216,7 @@ def _exact(shards: int, width: int):
                 w, cell, full, ok = _windows(texts[a:b], width)
                 for i in range(a, b):
                     x, y = w.first[i - a], w.first[i - a + 1]
-                    ok[x:y] &= _flagged(batch.column(3)[i].as_py(), cell[x:y])
+                    ok[x:y] &= _flagged(batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), cell[x:y])
                 at = np.flatnonzero(ok)
                 row = w.text_of_word()[at]
                 values, key = full[at], keys[a:b][row]
@@ -211,13 +247,13 @@ def dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) -> DataFrame
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-characters // 24_000_000))
 
     def settle(messages: DataFrame, exact: bool) -> DataFrame:
-        flags = messages.groupBy("shard").applyInPandas(_merge(exact), _FLAG)
-        return flags.groupBy(F.col("key").alias("__ink_key"), F.col("th").alias("__ink_th")).agg(F.collect_list(F.struct("kind", "data")).alias("__ink_flags"))
+        replies = messages.groupBy("shard").applyInPandas(_merge(shards, exact), _REPLY)
+        return replies.groupBy("bucket").applyInPandas(_gather, _FLAGS)
 
     with_text = own.select("__ink_key", "__ink_th", F.col("text").cast("string").alias("text"))
     repeated = settle(with_text.mapInArrow(_sketch(shards, width), _MESSAGE), False)
     joined = own.join(repeated, ["__ink_key", "__ink_th"]).sortWithinPartitions("__ink_key", "__ink_th")
-    verdict = settle(joined.select("__ink_key", "__ink_th", F.col("text").cast("string"), "__ink_flags").mapInArrow(_exact(shards, width), _MESSAGE), True)
+    verdict = settle(joined.select("__ink_key", "__ink_th", F.col("text").cast("string"), "__ink_at", "__ink_hash").mapInArrow(_exact(shards, width), _MESSAGE), True)
 
     new = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if keep_text else [])
     names = [n for n, _ in new]
@@ -225,15 +261,15 @@ def dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, flags = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            texts, places, hashes = batch.columns[-3:]
             out: list[list] = [[] for _ in new]
-            for t, f in zip(texts, flags):
-                text, f = t.as_py(), f.as_py()
+            for t, at, hash_ in zip(texts, places, hashes):
+                text, at, hash_ = t.as_py(), at.as_py(), hash_.as_py()
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 left, gone = words, 0
-                if f:
+                if at is not None or hash_ is not None:
                     _, _, full, ok = _windows([text], width)
-                    hit = np.flatnonzero(_flagged(f, full) & ok)
+                    hit = np.flatnonzero(_flagged(at, hash_, full) & ok)
                     cover = np.zeros(len(words) + width, dtype=np.int64)
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + width, -1)
@@ -244,10 +280,10 @@ def dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) -> DataFrame
                 row = [len(words), gone, hashlib.sha256(joined_).hexdigest(), joined_.decode("utf-8", "surrogatepass") if gone else text]
                 for column, v in zip(out, row):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(v, t) for v, (_, t) in zip(out, new)]], names=[*passed, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *[pa.array(v, t) for v, (_, t) in zip(out, new)]], names=[*passed, *names])
 
     schema = own.select(passed).schema
     for n, t in new:
         schema = schema.add(n, "string" if t == pa.string() else "long")
     final = own.join(verdict, ["__ink_key", "__ink_th"], "left")
-    return final.select(*passed, F.col("text").cast("string").alias("__ink_text"), "__ink_flags").mapInArrow(cut, schema)
+    return final.select(*passed, F.col("text").cast("string").alias("__ink_text"), "__ink_at", "__ink_hash").mapInArrow(cut, schema)
