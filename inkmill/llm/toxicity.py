@@ -2,8 +2,8 @@
 
 Fitting takes a bounded, uniform sample of labelled rows (``sample``).  Terms are words and the byte
 5-grams in them (a blank at either end), hashed.  Most terms of a text say nothing about the label and
-would drown a cosine, so the vocabulary is those terms that toxic examples hold at three times the
-overall rate at least and by a likelihood-ratio statistic beyond what chance gives for as many terms
+would drown a cosine, so the vocabulary is those terms whose examples are toxic at three times the
+overall rate (or half-way from it to 1) and by a likelihood-ratio statistic beyond what chance gives for as many terms
 tried, at most ``vocabulary`` of them.  Examples are weighted (1 + ln tf) * idf over it, with unit length.
 
 The index keeps each term's postings in blocks of example numbers with the greatest weight in each.  A
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: in
     tried, rows = 0, []
     if 0 < positive < size:
         scored = counts.withColumn("g2", F.expr(g2))
-        top = scored.where(f"g2 > 15 and dt / df > 3 * {rate}D").orderBy(F.desc("g2"), "term").limit(vocabulary).collect()
+        top = scored.where(f"g2 > 15 and dt / df > {min(3 * rate, (1 + rate) / 2)}D").orderBy(F.desc("g2"), "term").limit(vocabulary).collect()
         tried = max(2, counts.count())
         rows = [r for r in top if r["g2"] > 2 * np.log(tried)]
     order = np.argsort(np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)) if rows else []
