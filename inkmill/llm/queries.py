@@ -82,3 +82,21 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t-\r]+'), lambda x: x <> '')"
+ORACLE_SQL["op1_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::varchar[] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::bigint AS n_shingles, min(reach.b) AS component_id FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+ORACLE_SQL["op6_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
+h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least FROM s),
+gone AS (SELECT doc_id, list(DISTINCT k) AS k FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM h WHERE least < doc_id) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(w) AS n, list_filter(w, lambda x, i: k IS NULL OR NOT list_contains(k, i)) AS kept FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::bigint AS n_words, (n - len(kept))::bigint AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
