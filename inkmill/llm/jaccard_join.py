@@ -10,14 +10,16 @@ is a region; those that frequent n-grams would form are avoided by putting a bou
 n-grams last in the order.  Regions with the same members count once.
 
 *Recursion.*  In each region some nodes become pivots (at most ``PIVOTS``, of different components where
-there are such), and all members' exact distances to them are computed.  A node within ``NEAR`` of its
-nearest pivot belongs to that pivot's Voronoi cell, others to the far cell.  A member is also copied
-into another pivot's cell if it may link to something there: by the triangle inequality only if it is
-no more than 2r nearer to its own pivot and within NEAR + r of that one (r: the greatest distance of a
-link).  Pivots leave, having met every member.  Each cell is a region of the next round; a cell whose
-members are in one component already needs no more work, so a large group of near copies ends after
-one round with as many distances as members.  Rounds go on until no region is left: no link between
-components is missed, no pair is met twice, and no group's pairs are listed.
+there are such) and meet all members.  A member's distance to a pivot is computed unless the sizes of
+the sets, or their distances to the pivot of the round before (the triangle inequality), already say
+that it is more than r, the greatest distance of a link; that lower bound then stands for it.  A node
+within r of a pivot belongs to the Voronoi cell of its nearest one, others to the far cell.  A far node
+is also copied into each cell whose pivot may be within 2r, and a node of one cell into such cells of
+lesser pivots: by the triangle inequality it can link to nothing in any other.  Pivots leave, having met
+every member.  Each cell is a region of the next round; one whose members are in one component already
+needs no more work, so a large group of near copies ends after a round or two with few distances more
+than members.  Rounds go on until no region is left: no link between components is missed, no pair is
+met twice, and no group's pairs are listed.
 
 Work is by rows of ids; texts go only to the distances asked for.  Elections, counts and components
 are partial aggregates, so a large group loads no single task.
@@ -44,7 +46,6 @@ from inkmill.llm.textkit import U64, Words, mix, run_valid, runs, slices
 
 SLICE = 6_000_000
 PIVOTS = 8
-NEAR = 0.5
 #: The list of frequent n-grams has at most so many; it only settles an order, whatever it holds.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 8  # in one slice
@@ -132,7 +133,11 @@ def _anchors(words: int, percent: int, shards: int, frequent):
 
 
 def _regions(percent: int):
-    """A shard's anchors -> members of regions: nodes that share an anchor with one of similar size."""
+    """A shard's anchors -> members of regions: nodes that share an anchor with one of similar size.
+
+    An anchor's nodes are divided by size, in bands of which one is ``percent`` of the next; each node is
+    in its band and, as one of the greater, in that below, so nodes that may link meet in one region."""
+    step = np.log(100 / percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         anchor, node, size = [], [], []
@@ -142,31 +147,40 @@ def _regions(percent: int):
             node.append(unpack(nodes).view(np.int64)[own])
             size.append(unpack(sizes).astype(np.int64)[own])
         anchor, node, size = np.concatenate(anchor), np.concatenate(node), np.concatenate(size)
-        order = np.lexsort((node, size, anchor))
-        anchor, node, size = anchor[order], node[order], size[order]
-        once = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (node[1:] != node[:-1])))
-        anchor, node, size = anchor[once], node[once], size[once]
-        beside = (anchor[1:] == anchor[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        band = np.floor(np.log(size) / step + 1e-9).astype(np.int64)
+        anchor, node, size, band = np.tile(anchor, 2), np.tile(node, 2), np.tile(size, 2), np.concatenate((band, band - 1))
+        order = np.lexsort((node, size, band, anchor))
+        anchor, node, size, band = anchor[order], node[order], size[order], band[order]
+        with_last = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (band[1:] == band[:-1])))
+        once = ~(with_last & np.concatenate(([False], node[1:] == node[:-1])))
+        anchor, node, size, band = anchor[once], node[once], size[once], band[once]
+        beside = (anchor[1:] == anchor[:-1]) & (band[1:] == band[:-1]) & (100 * size[:-1] >= percent * size[1:])
         keep = np.concatenate((beside, [False])) | np.concatenate(([False], beside))
-        return pd.DataFrame({"region": anchor[keep].view(np.int64), "node": node[keep], "n": size[keep]})
+        region = mix(anchor[keep] + (band[keep] + 1).astype(np.uint64)).view(np.int64)
+        return pd.DataFrame({"region": region, "node": node[keep], "n": size[keep]})
 
     return run
 
 
 def _distances(words: int):
-    """(a, b, text_a, text_b) -> (a, b, shared, united): exact sizes of intersection and union."""
+    """(node, pivot, text of the node, text of the pivot) -> (a, b, shared, united): exact sizes of
+    intersection and union.  Rows come in order of their pivots, whose sets are made once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            shared, united = [], []
-            for a, b in slices([len(s or "") + len(t or "") for s, t in zip(x, y)], SLICE):
-                sets = shingle_sets(x[a:b] + y[a:b], words)
-                for s, t in zip(sets[: b - a], sets[b - a :]):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    shared.append(both)
-                    united.append(len(s) + len(t) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
+            node, pivot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, pivot_texts = batch.column(2).to_pylist(), batch.column(3)
+            sets: list[np.ndarray] = []
+            for a, b in slices([len(t or "") for t in texts], SLICE):
+                sets += shingle_sets(texts[a:b], words)
+            kinds, first, inverse = np.unique(pivot, return_index=True, return_inverse=True)
+            own = [pivot_texts[i].as_py() for i in first.tolist()]
+            pivots: list[np.ndarray] = []
+            for a, b in slices([len(t or "") for t in own], SLICE):
+                pivots += shingle_sets(own[a:b], words)
+            shared = np.array([len(np.intersect1d(s, pivots[k], assume_unique=True)) for s, k in zip(sets, inverse.tolist())], dtype=np.int64)
+            united = np.array([len(s) + len(pivots[k]) for s, k in zip(sets, inverse.tolist())], dtype=np.int64) - shared
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, pivot)), pa.array(np.maximum(node, pivot)), pa.array(shared), pa.array(united)], names=["a", "b", "shared", "united"])
 
     return run
 
@@ -203,7 +217,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     total = digest.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 8_000_000))
     packed = texts.select("text").mapInArrow(_anchors(words, percent, shards, frequent), _ANCHORS)
-    members = stored(packed.groupBy("shard").applyInPandas(_regions(percent), "region long, node long, n long"), "regions")
+    members = stored(packed.groupBy("shard").applyInPandas(_regions(percent), "region long, node long, n long").withColumn("dp", F.lit(None).cast("double")), "regions")
 
     # the text of each node in a region
     first = digest.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("node", "d.doc_id", "d.th")
@@ -224,23 +238,27 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         if not live.limit(1).count():
             break
         bucket = F.lit(0) if round_ == 0 else F.pmod(F.xxhash64("comp", F.lit(round_)), F.lit(PIVOTS))
-        pivots = live.groupBy("region", bucket.alias("bucket")).agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        met = stored(live.join(pivots, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}), "met")
-        # sets of very different size are as far apart as their sizes say at least, which is far enough
-        asked = met.where((F.col("a") != F.col("b")) & (F.least("n", "pivot_n") >= (1 - NEAR - r) * F.greatest("n", "pivot_n"))).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        pairs = asked.join(node_text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(node_text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_distances(words), "a long, b long, shared long, united long"), "found")
+        pivots = live.groupBy("region", bucket.alias("bucket")).agg(F.min_by(F.struct("node", "n", "dp"), F.xxhash64("node")).alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.dp").alias("pivot_dp"))
+        # what sizes and the distances to the last pivot say at least
+        least = F.greatest(1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"), F.coalesce(F.abs(F.col("dp") - F.col("pivot_dp")), F.lit(0.0)))
+        met = stored(live.join(pivots, "region").select("region", "node", "n", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), least.alias("least")), "met")
+        asked = met.where((F.col("node") != F.col("pivot")) & (F.col("least") <= r + 1e-9)).groupBy("a", "b").agg(F.min("pivot").alias("pivot")).join(done, ["a", "b"], "left_anti")
+        asked = asked.select(F.when(F.col("a") == F.col("pivot"), F.col("b")).otherwise(F.col("a")).alias("node"), "pivot")
+        pairs = asked.join(node_text.withColumnRenamed("text", "text_node"), "node").join(node_text.select(F.col("node").alias("pivot"), F.col("text").alias("text_pivot")), "pivot")
+        pairs = pairs.select("node", "pivot", "text_node", "text_pivot").sortWithinPartitions("pivot")
+        found = stored(pairs.mapInArrow(_distances(words), "a long, b long, shared long, united long"), "found")
         links = found.where(f"100 * shared >= {percent} * united").select("a", "b")
         done = stored(done.unionByName(found.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d"))), "done")
         comp = _joined(comp, links)
-        # Voronoi cells of the next round
-        apart = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-        seen = met.join(done, ["a", "b"], "left").select("region", "node", "n", "pivot", apart.alias("d"))
-        own = seen.groupBy("region", "node", "n").agg(F.min("d").alias("nearest"), F.min_by("pivot", F.struct("d", "pivot")).alias("own"))
+        # the cells of the next round
+        apart = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", "least"))
+        seen = met.join(done, ["a", "b"], "left").select("region", "node", "n", "pivot", apart.alias("d"), F.col("d").alias("exact"))
+        own = seen.groupBy("region", "node", "n").agg(F.min(F.struct("d", "pivot")).alias("best")).select("region", "node", "n", F.col("best.d").alias("nearest"), F.col("best.pivot").alias("own"))
         own = own.where("nearest > 0")  # pivots are done
-        cells = seen.where(f"d > 0 and d <= {NEAR + r}").join(own, ["region", "node", "n"]).where(f"d <= nearest + {2 * r + 1e-9} or pivot = own")
-        near = cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
-        far = own.where(f"nearest > {NEAR}").select(F.xxhash64("region", F.lit("far")).alias("region"), "node", "n")
+        inside = F.col("nearest") <= r + 1e-9
+        cells = seen.where(f"d > 0 and d <= {2 * r + 1e-9}").join(own, ["region", "node", "n"]).where(~inside | (F.col("pivot") <= F.col("own")))
+        near = cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", F.col("exact").alias("dp"))
+        far = own.where(~inside).select(F.xxhash64("region", F.lit("far")).alias("region"), "node", "n", F.lit(None).cast("double").alias("dp"))
         members = stored(near.unionByName(far), "regions")
         round_ += 1
 
