@@ -253,7 +253,9 @@ def dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) -> DataFrame
     with_text = own.select("__ink_key", "__ink_th", F.col("text").cast("string").alias("text"))
     repeated = settle(with_text.mapInArrow(_sketch(shards, width), _MESSAGE), False)
     joined = own.join(repeated, ["__ink_key", "__ink_th"]).sortWithinPartitions("__ink_key", "__ink_th")
-    verdict = settle(joined.select("__ink_key", "__ink_th", F.col("text").cast("string"), "__ink_at", "__ink_hash").mapInArrow(_exact(shards, width), _MESSAGE), True)
+    # all columns go along unread, so that this join's shuffle of the rows is the last join's too
+    windows = joined.select("__ink_key", "__ink_th", F.col("text").cast("string").alias("__ink_text"), "__ink_at", "__ink_hash", *kept)
+    verdict = settle(windows.mapInArrow(_exact(shards, width), _MESSAGE), True)
 
     new = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if keep_text else [])
     names = [n for n, _ in new]
