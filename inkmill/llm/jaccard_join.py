@@ -45,7 +45,9 @@ from inkmill.llm.session import small_batches, stored
 from inkmill.llm.textkit import U64, Words, mix, run_valid, runs, slices
 
 SLICE = 6_000_000
-PIVOTS = 8
+#: Pivots of a region at most, in the first round, the second, and later ones: one ends large groups of
+#: near copies, many end what is left (small regions of unlike nodes) in few rounds.
+PIVOTS = (1, 8, 64)
 #: The list of frequent n-grams has at most so many; it only settles an order, whatever it holds.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 8  # in one slice
@@ -237,7 +239,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         live = stored(labelled.join(chosen, "region"), "live")
         if not live.limit(1).count():
             break
-        bucket = F.lit(0) if round_ == 0 else F.pmod(F.xxhash64("comp", F.lit(round_)), F.lit(PIVOTS))
+        bucket = F.pmod(F.xxhash64("comp", F.lit(round_)), F.lit(PIVOTS[min(round_, len(PIVOTS) - 1)]))
         pivots = live.groupBy("region", bucket.alias("bucket")).agg(F.min_by(F.struct("node", "n", "dp"), F.xxhash64("node")).alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.dp").alias("pivot_dp"))
         # what sizes and the distances to the last pivot say at least
         least = F.greatest(1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"), F.coalesce(F.abs(F.col("dp") - F.col("pivot_dp")), F.lit(0.0)))
