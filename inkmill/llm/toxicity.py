@@ -36,27 +36,37 @@ _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 GRAM = 5
-BLOCK = 64
+BLOCK = 256
 
 
-def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of the texts with repeats, and where each text's begin (one more at the end)."""
+def terms(texts: list[str | None], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of the texts with repeats, and where each text's begin (one more at the end).
+    With ``kept``, a table over the low bits of hashes, only terms that it marks."""
     raw = [b" " + (t or "").encode("utf-8", "surrogatepass") + b"      " for t in texts]
     buf = _LETTER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
     edge = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     blank = buf == 32
     wide = buf.astype(np.uint64)
     size = max(0, len(buf) - GRAM + 1)
-    at = np.flatnonzero(~(blank[1 : size + 1] | blank[2 : size + 2] | blank[3 : size + 3])) if size else np.zeros(0, np.int64)
-    gram = np.full(len(at), 5, dtype=np.uint64)
+    gram = np.full(size, 5, dtype=np.uint64)
     for j in range(GRAM):
-        gram = gram * U64(0x100000001B3) + wide[at + j]
+        gram = gram * U64(0x100000001B3) + wide[j : j + size]
+    at = np.flatnonzero(~(blank[1 : size + 1] | blank[2 : size + 2] | blank[3 : size + 3])) if size else np.zeros(0, np.int64)
+    gram = mix(gram[at])
     flips = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
-    start, end = flips[0::2], flips[1::2]
-    hashed = np.concatenate((mix(gram), span_hash(mix(wide + U64(77)), start, end)))
-    owner = np.searchsorted(edge, np.concatenate((at, start)), side="right")
-    order = np.argsort(owner, kind="stable")
-    return hashed[order], np.searchsorted(owner[order], np.arange(1, len(texts) + 2))
+    start, word = flips[0::2], span_hash(mix(wide + U64(77)), flips[0::2], flips[1::2])
+    if kept is not None:
+        some = kept[gram & U64(len(kept) - 1)]
+        at, gram = at[some], gram[some]
+        some = kept[word & U64(len(kept) - 1)]
+        start, word = start[some], word[some]
+    # both are in text order: each text's grams, then its words
+    g, w = np.searchsorted(at, edge), np.searchsorted(start, edge)
+    out, first = np.empty(len(gram) + len(word), dtype=np.uint64), g + w
+    for a, b, c, d, e in zip(g[:-1].tolist(), g[1:].tolist(), w[:-1].tolist(), w[1:].tolist(), first.tolist()):
+        out[e : e + b - a] = gram[a:b]
+        out[e + b - a : e + b - a + d - c] = word[c:d]
+    return out, first
 
 
 class BlockMax:
@@ -139,8 +149,10 @@ class ToxicityModel:
         """Calibrated score and neighbours (example number, cosine) of each text."""
         nothing = self.calibrated(self.raw((np.zeros(0, np.int64), np.zeros(0)))[0])
         scores, near, known = [], [], {}
+        kept = np.zeros(1 << 20, dtype=bool)
+        kept[self.vocabulary & U64(len(kept) - 1)] = True
         for a, b in slices([len(t or "") for t in texts]):
-            hashed, first = terms(texts[a:b])
+            hashed, first = terms(texts[a:b], kept)
             for x, y in zip(first[:-1], first[1:]):
                 vector = self.vector(hashed[x:y])
                 key = vector[0].tobytes() + vector[1].tobytes()
