@@ -12,6 +12,12 @@ Left out anywhere: menus, headers, footers, sidebars, notices, adverts, forms, s
 reader comments, by tag, role, class or id.  Blocks are trimmed, white space in them is one space,
 and they are joined in page order by newlines.  Character references are decoded.
 
+A class or id is only a hint.  One that tells a state (no-sidebar, has-header, comments-open) is none.
+One that tells a layout (right-sidebar, sidebar-wrap) counts unless its element holds most of the
+page's unlinked text, any other unless there also is an article, main or three paragraphs in it, and
+one of comments, which may well be longer than the article, unless there also is a main or h1 in it.
+Where nothing but hinted elements has text, no hint counts.
+
 Winners are shared with all tasks only up to ``share_hosts`` hosts; beyond that they are joined by host.
 
 Edge cases: null or empty html gives an empty text; a null url counts as a host of its own name '';
@@ -25,6 +31,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +48,10 @@ _ASIDE = re.compile(
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comments?|disqus|respond|replies|"
     r"related|recommended|recommendations|widget|pagination|pager|toolbar|copyright|skip)(?:$|[-_\s])"
 )
+_COMMENT = re.compile(r"comment(?!ar|at)|reply|replies|disqus|respond")
+#: Parts of a class or id beside which a hint tells a page's state, and a layout.
+_STATES = {"no", "not", "non", "has", "have", "with", "without", "open", "opened", "closed", "enabled", "disabled"}
+_LAYOUTS = {"left", "right", "both", "layout", "wrap", "wrapper", "container"}
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _DROPPED = set("nav header footer aside form script style noscript template iframe svg canvas object button select option textarea input label fieldset menu dialog audio video head title math map datalist".split())
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -51,21 +62,76 @@ _ENDS_OWN = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 _KEEP_BY_NAME = {"html", "body", "main", "article", "p", "h1", "h2", "h3"}
 
 
+@lru_cache(1 << 16)
+def hint_of(tag: str, name: str) -> str:
+    """What a class or id says of its element: '', 'layout', 'aside' or 'comment'."""
+    if tag in ("article", "section", "p") and _COMMENT.search(name) and ("comment" in name or "reply" in name):
+        kind = "comment"
+    elif tag not in _KEEP_BY_NAME and _ASIDE.search(name):
+        kind = "comment" if _COMMENT.search(name) else "aside"
+    else:
+        return ""
+    parts = re.split(r"[-_\s]+", name)
+    if not _STATES.isdisjoint(parts):
+        return ""
+    if parts[0] == "elementor" and "widget" in parts:  # what that builder calls any element, the article's text too
+        return hint_of(tag, "-".join(p for p in parts[1:] if p != "widget"))
+    return "layout" if kind == "aside" and not _LAYOUTS.isdisjoint(parts) else kind
+
+
 class Page:
     """The elements of a page (parent, path, dropped) and its kept blocks of text in order."""
 
     def __init__(self, source: str):
         self.parent, self.path, self.tag, self.dropped = [-1], [""], ["#"], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, linked characters
-        self._stack, self._text, self._linked, self._links = [0], [], 0, 0
+        self.hint = [0]  # the innermost element with a hint, at or above each
+        self._kinds: dict[int, str] = {}
+        self._pieces: list[tuple[int, list[tuple[str, int, bool]]]] = []  # element, its pieces: text, hint, linked
+        self._stack, self._text, self._links = [0], [], 0
         self._read(source)
+        self.blocks = self._kept(self._asides()) or (self._kept(set()) if self._kinds else [])
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
+            self._pieces.append((self._stack[-1], self._text))
+            self._text = []
+
+    def _kept(self, asides: set[int]) -> list[tuple[int, str, int]]:
+        """The blocks without the text of these hinted elements."""
+        blocks = []
+        for element, pieces in self._pieces:
+            kept = [p for p in pieces if p[1] not in asides] if asides else pieces
+            text = " ".join("".join([p[0] for p in kept]).split())
             if text:
-                self.blocks.append((self._stack[-1], text, min(self._linked, len(text))))
-            self._text, self._linked = [], 0
+                blocks.append((element, text, min(sum(len(p[0]) for p in kept if p[2]), len(text))))
+        return blocks
+
+    def _asides(self) -> set[int]:
+        """Hinted elements that are left out, or are in one that is."""
+        if not self._kinds:
+            return set()
+        unlinked, inside = dict.fromkeys((0, *self._kinds), 0), {h: defaultdict(int) for h in (0, *self._kinds)}
+        for _, pieces in self._pieces:
+            for text, h, linked in pieces:
+                unlinked[h] += 0 if linked else len(text.strip())
+        for e in range(1, len(self.tag)):
+            if self.tag[e] in ("h1", "main", "article", "p") and not self.dropped[e]:
+                inside[self.hint[self.parent[e]]][self.tag[e]] += 1
+        for h in sorted(self._kinds, reverse=True):
+            above = self.hint[self.parent[h]]
+            if self._kinds[h] == "comment" and not (inside[h]["main"] or inside[h]["h1"]):
+                continue  # long comments make no element the main one
+            unlinked[above] += unlinked[h]
+            for tag, n in inside[h].items():
+                inside[above][tag] += n
+        most, asides = unlinked[0] / 2, set()
+        for h in sorted(self._kinds):
+            has = inside[h]
+            wraps = {"layout": True, "aside": has["article"] or has["main"] or has["p"] >= 3, "comment": has["main"] or has["h1"]}[self._kinds[h]]
+            if self.hint[self.parent[h]] in asides or not (wraps and unlinked[h] > most):
+                asides.add(h)
+        return asides
 
     def _pop(self, depth: int) -> None:
         """Close elements until ``depth`` are open."""
@@ -86,21 +152,23 @@ class Page:
             self._flush()
         if tag in _VOID:
             if tag in ("br", "wbr", "hr", "img"):
-                self._text.append(" " if tag != "wbr" else "")
+                self._text.append((" " if tag != "wbr" else "", 0, False))
             return
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         classes = named.get("class", "").split()
         drop = self.dropped[self._stack[-1]] or tag in _DROPPED or named.get("role") in _ASIDE_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        if not drop and tag not in _KEEP_BY_NAME:
-            drop = any(_ASIDE.search(c) for c in (*classes, named.get("id", "")) if c)
-        if not drop and tag in ("article", "section", "p"):
-            drop = any("comment" in c or "reply" in c for c in (*classes, named.get("id", "")))
+        kinds = {hint_of(tag, c) for c in (*classes, named.get("id", "")) if c} if named and not drop else ()
         step = tag + "".join("." + c for c in sorted({_DIGITS.sub("", c).strip("-_") for c in classes} - {""}))
         above = self.path[self._stack[-1]]
         self.parent.append(self._stack[-1])
         self.path.append(above if tag == "html" else f"{above}/{step}" if above else step)
         self.tag.append(tag)
         self.dropped.append(drop)
+        self.hint.append(self.hint[self._stack[-1]])
+        for kind in ("comment", "aside", "layout"):
+            if kind in kinds:
+                self._kinds[len(self.tag) - 1], self.hint[-1] = kind, len(self.tag) - 1
+                break
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
 
@@ -125,15 +193,13 @@ class Page:
             if start > at and not self.dropped[self._stack[-1]]:
                 piece = source[at:start]
                 piece = html.unescape(piece) if "&" in piece else piece
-                self._text.append(piece)
-                if self._links > 0:
-                    self._linked += len(piece)
+                self._text.append((piece, self.hint[self._stack[-1]], self._links > 0))
             if start >= end:
                 break
             m = _TAG.match(source, start) or _LOOSE_TAG.match(source, start)
             if not m:
                 if not self.dropped[self._stack[-1]]:
-                    self._text.append("<")
+                    self._text.append(("<", self.hint[self._stack[-1]], False))
                 at = start + 1
                 continue
             at = m.end()
@@ -147,7 +213,7 @@ class Page:
                     at = close.end() if close else end
                     self._pop(len(self._stack) - 1)
             elif tag == "br":
-                self._text.append(" ")
+                self._text.append((" ", 0, False))
             elif tag not in ("html", "body"):
                 for depth in range(len(self._stack) - 1, max(0, len(self._stack) - 400), -1):
                     if self.tag[self._stack[depth]] == tag:

@@ -42,3 +42,19 @@ def test_repeated_rows_clashing_columns_and_joined_hosts(spark):
     for limit in (50_000, 0):
         assert [(r["text"], r["n_chars"]) for r in rows(html_extract.extract(pages, share_hosts=limit))] == [("text here", 9)] * 2
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_class_hints_on_wrappers_lose_nothing(spark):
+    body = "<h1>Title</h1><p>The only paragraph of the article, and no short one.</p>"
+    whole = "Title\nThe only paragraph of the article, and no short one."
+    names = ["no-sidebar", "right-sidebar", "has-header", "comments-open", "elementor-widget", "with-left-sidebar", "modal-open"]
+    wrapped = [f"<body><nav>Menu</nav><div class='{n}'>{body}<div class='sidebar'>Beside it</div></div><div class='footer'>Imprint</div></body>" for n in names]
+    wrapped.append(f"<body><div class='footer'>Imprint</div><article class='commentary'>{body}</article><article class='comment'>I agree.</article></body>")
+    wrapped.append(f"<body><div class='widget'><article>{body}</article></div><div class='footer'>Imprint</div></body>")
+    wrapped.append(f"<body><div class='banner'>{body}</div></body>")  # all there is
+    assert extract(spark, [(i, f"http://h{i}.example/", w) for i, w in enumerate(wrapped)]) == [whole] * len(wrapped)
+
+
+def test_class_hints_still_leave_out_asides(spark):
+    noise = "<div id='comments'>" + "<p>A comment that is far longer than what it is about.</p>" * 9 + "</div><div class='left-sidebar'>Beside it</div><div class='cookie-notice'>We use cookies, lots and lots and lots of them.</div>"
+    assert extract(spark, [(1, "http://i.example/", f"<body><div><p>Short text.</p>{noise}</div></body>")]) == ["Short text."]
