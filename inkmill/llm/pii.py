@@ -103,13 +103,36 @@ def find(docs: DataFrame) -> DataFrame:
     return out.selectExpr("doc_id", *[f"cast(size({k}) as long) as n_{k}" for k in KINDS], f"sha2({base}, 256) as base_sha256", f"{every} as spans", f"{scores} as scores")
 
 
+#: Code points of the blocks from which ``redact`` cuts its pieces: a piece costs its own length and two blocks.
+BLOCK = 4096
+
+
 def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """The same rows and columns, with each confirmed span of at least this score replaced by its kind
-    in square brackets; a row without one keeps its text (null too) as it is."""
-    out = docs
-    for kind in ("email", "iban", "card", "ip", "phone"):
-        p = _quoted(PATTERNS[kind])
-        score = f"({BASE[kind]}D + if(lower(right(g, {REACH})) rlike '{CONTEXT[kind]}', {BONUS}D, 0D))"
-        joined = f"array_join(zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (m, g) -> concat(g, case when m is null then '' when {CONFIRM[kind]} and {score} >= {least_score}D then '[{kind.upper()}]' else m end)), '')"
-        out = out.withColumn("text", F.expr(f"if({NEEDS[kind].format(t='text')}, {joined}, text)"))
-    return out
+    in square brackets; a row without one keeps its text (null too) as it is.
+
+    Spans of all kinds are those of ``find``, on the text as it was.  Overlapping ones are replaced as
+    one, by the kind of the longest (ties: the first in the order email, iban, card, ip, phone)."""
+    order = ("email", "iban", "card", "ip", "phone")
+    every = ", ".join(f"transform(filter(__{k}, x -> x.score >= {least_score}D), x -> named_struct('start', x.start, 'end', x.end, 'n', x.end - x.start, 'kind', {i}))" for i, k in enumerate(order))
+    better = "x.n > a.n or x.n = a.n and x.kind < a.kind"
+    open_one = "named_struct('start', a.start, 'end', a.end, 'kind', a.kind)"
+    none = "cast(array() as array<struct<start: int, end: int, kind: int>>)"
+    merged = (
+        f"aggregate(array_sort(concat({every})), named_struct('start', -1, 'end', -1, 'n', 0, 'kind', 0, 'out', {none}), "
+        f"(a, x) -> if(x.start < a.end, named_struct('start', a.start, 'end', greatest(a.end, x.end), 'n', if({better}, x.n, a.n), 'kind', if({better}, x.kind, a.kind), 'out', a.out), "
+        f"named_struct('start', x.start, 'end', x.end, 'n', x.n, 'kind', x.kind, 'out', if(a.end < 0, a.out, array_append(a.out, {open_one})))), "
+        f"a -> if(a.end < 0, a.out, array_append(a.out, {open_one})))"
+    )
+
+    def cut(start: str, end: str) -> str:
+        first = f"cast({start} div {BLOCK} as int)"
+        return f"substring(array_join(slice(b, {first} + 1, cast({end} div {BLOCK} as int) - {first} + 1), ''), {start} % {BLOCK} + 1, {end} - {start})"
+
+    names = f"array({', '.join(f"'[{k.upper()}]'" for k in order)})"
+    pieces = f"transform(s, (x, i) -> concat({cut('if(i = 0, 0, s[i - 1].end)', 'x.start')}, {names}[x.kind]))"
+    joined = f"concat(array_join({pieces}, ''), {cut('s[size(s) - 1].end', 'length(text)')})"
+    blocks = f"regexp_extract_all(text, {_quoted(f'(?s).{{1,{BLOCK}}}+')}, 0)"
+    masked = f"transform(array({merged}), s -> if(size(s) = 0, text, transform(array({blocks}), b -> {joined})[0]))[0]"
+    found = docs.select("*", *[spans(k, "coalesce(text, '')").alias(f"__{k}") for k in order])
+    return found.withColumn("text", F.expr(masked)).select(docs.columns)

@@ -70,3 +70,26 @@ def test_redact_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_redact_leaves_nothing_of_any_span(spark):
+    """What is left of a text is what lies outside the union of its spans."""
+    texts = [*TEXTS, "tel +33.1.42.68.53.00, again +33.1.42.68.53.00.", "+1.2.3.4@a.b 1.2.3.4@a.b", "x" * 9000 + " a@b.c " + "é😀" * 5000 + " 1.1.1.1 " + "y" * 4096, "a@b.c," * 3000]
+    docs = documents(spark, texts)
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find(docs))}
+    got = {r["doc_id"]: r["text"] for r in rows(pii.redact(docs))}
+    for i, text in enumerate(texts):
+        spans = sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in found[i].split(",") if x)
+        union = []
+        for a, b in spans:
+            if union and a < union[-1][1]:
+                union[-1][1] = max(b, union[-1][1])
+            else:
+                union.append([a, b])
+        kept, at = [], 0
+        for a, b in union:
+            kept.append((text or "")[at:a])
+            at = b
+        kept.append((text or "")[at:])
+        assert re.split(r"\[(?:EMAIL|IBAN|CARD|IP|PHONE)\]", got[i] or "") == kept, (text or "")[:100]
+    assert got[len(TEXTS)] == "tel [PHONE], again [PHONE]."
