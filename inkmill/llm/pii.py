@@ -10,7 +10,9 @@ dropped without a retry:
     phone  \+[0-9][\x20().0-9-]+[0-9]                  8 to 15 digits
 
 but are written with possessive repeats and look-behinds, so that a long run of digits or letters costs
-linear time and no recursion.  A kind of our own is added: ``iban``, confirmed by mod-97.
+linear time and no recursion.  A kind of our own is added: ``iban``, of the length of its country (of
+one that is not on the list: the longest there is) and confirmed by mod-97.  It is tried at every place
+where one may begin, so that a failing one hides no other.
 
 ``split`` gives the text between matches and ``regexp_extract_all`` the matches; their lengths, added
 up along the text, are the positions (code points, end exclusive).
@@ -27,12 +29,20 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "iban")
 
+#: Length of an IBAN by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_LISTED = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9](?:[ ().-]*+[0-9]){7,14}+(?![ ().-]*+[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_BY_LENGTH}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])))",
 }
 #: A text without this can hold no match of the kind: a cheap test before the pattern.
 NEEDS = {"email": "contains({t}, '@')", "ip": r"{t} rlike '[0-9]\\.[0-9]'", "card": "{t} rlike '[0-9]'", "phone": "contains({t}, '+')", "iban": "{t} rlike '[A-Z][A-Z][0-9][0-9]'"}
@@ -75,18 +85,22 @@ def _quoted(pattern: str) -> str:
 
 def _parts(kind: str, text: str) -> str:
     """SQL for an array along the text: length of what precedes a match, of the match, and its score
-    (null: not confirmed); the last has what follows all matches."""
-    p = _quoted(PATTERNS[kind])
+    (null: not confirmed); the last has what follows all matches.  The pattern of iban takes nothing
+    (group 1 has the match), and a blank is put before the text, as no split is made at its begin."""
+    p, group = _quoted(PATTERNS[kind]), 0
+    if kind == "iban":
+        text, group = f"concat(' ', {text})", 1
     score = f"least(1.0D, {BASE[kind]}D + if(lower(right(g, {REACH})) rlike '{CONTEXT[kind]}', {BONUS}D, 0D))"
-    return f"zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('g', length(g), 'n', length(coalesce(m, '')), 's', if(m is not null and {CONFIRM[kind]}, {score}, null)))"
+    return f"zip_with(regexp_extract_all({text}, {p}, {group}), split({text}, {p}, -1), (m, g) -> named_struct('g', length(g), 'n', length(coalesce(m, '')), 's', if(m is not null and {CONFIRM[kind]}, {score}, null)))"
 
 
 def spans(kind: str, text: str) -> Column:
     """Confirmed spans of one kind: array of (start, end, score)."""
     none = "cast(array() as array<struct<start: int, end: int, score: double>>)"
+    begin, taken = ("-1", "0") if kind == "iban" else ("0", "x.n")
     walk = (
-        f"aggregate({_parts(kind, text)}, named_struct('at', 0, 'out', {none}), "
-        "(a, x) -> named_struct('at', a.at + x.g + x.n, 'out', if(x.s is null, a.out, array_append(a.out, named_struct('start', a.at + x.g, 'end', a.at + x.g + x.n, 'score', x.s)))), "
+        f"aggregate({_parts(kind, text)}, named_struct('at', {begin}, 'out', {none}), "
+        f"(a, x) -> named_struct('at', a.at + x.g + {taken}, 'out', if(x.s is null, a.out, array_append(a.out, named_struct('start', a.at + x.g, 'end', a.at + x.g + x.n, 'score', x.s)))), "
         "a -> a.out)"
     )
     return F.expr(f"if({NEEDS[kind].format(t=text)}, {walk}, {none})")

@@ -93,3 +93,21 @@ def test_redact_leaves_nothing_of_any_span(spark):
         kept.append((text or "")[at:])
         assert re.split(r"\[(?:EMAIL|IBAN|CARD|IP|PHONE)\]", got[i] or "") == kept, (text or "")[:100]
     assert got[len(TEXTS)] == "tel [PHONE], again [PHONE]."
+
+
+def test_iban_before_upper_case_words(spark):
+    texts = {
+        "DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX": ["0:27"],
+        "GB82 WEST 1234 5698 7654 32 SWIFT": ["0:27"],
+        "IBAN GB82WEST12345698765432 1234 OR DE89370400440532013000 BIC": ["5:27", "36:58"],
+        "REF AB12 DE89 3704 0044 0532 0130 00 BIC IE12 GB82 WEST 1234 5698 7654 32": ["9:36", "46:73"],
+        "NO93 8601 1117 947, MT84 MALT 0110 0001 2345 MTLC AST0 01S": ["0:18", "20:58"],
+        "DE89 3704 0044 0532 0130 001 and DE89 3704 0044 0532 0130 0": [],
+    }
+    docs = documents(spark, list(texts))
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find(docs))}
+    masked = {r["doc_id"]: r["text"] for r in rows(pii.redact(docs))}
+    for i, want in enumerate(texts.values()):
+        assert [x for x in found[i].split(",") if x.startswith("iban")] == [f"iban:{x}" for x in want]
+        assert masked[i].count("[IBAN]") == len(want)
+    assert masked[0] == "[IBAN] BIC: COBADEFFXXX"
