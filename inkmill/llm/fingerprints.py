@@ -6,9 +6,15 @@ words (by hash) lies at an edge.  Whether a window is one depends on nothing out
 disturbs only the anchors that it touches and the others keep their distance from the edit.  A text of
 1 to K - 1 words has its whole sequence as its one anchor; a text without words has none.
 
-The fingerprint is the ``SIZE`` least distinct 32-bit anchor hashes, in hex: a min-wise sample of the
-anchors of the whole text (all of them, where there are fewer).  The likeness of two fingerprints
-estimates the Jaccard similarity of the anchor sets, exactly where both sets are whole.
+``anchors`` holds all anchors of the whole text in order, each as the 32-bit hash in 8 hex digits and the
+distance in words from the anchor before (from the text's begin: 0 for the first word) in one, as it is
+at most 3.  Likeness is positional: of the anchors that both texts hold (each at its first place), the
+most that stand in the same order in both, as a share of all distinct anchors of the two.  A shared
+passage counts wherever it stands, a moved one does not.  Where nothing moved this costs a sort;
+otherwise time grows with the square of the shared anchors.
+
+``fingerprint`` is a short key besides: the ``SIZE`` least distinct anchor hashes, in hex.  No likeness
+is computed from it.
 
 Edge cases: null counts as empty; two texts without words are alike (1.0); equal texts have equal
 fingerprints; ties and repeated doc_ids are ordered by text; a null doc_id comes last; one document is
@@ -21,6 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, SIZE = 5, 128
+#: Bits of an anchor's position (in words) below its hash; no string has more words.
+PLACE = 30
+_MASK = f"{(1 << PLACE) - 1}L"
 _OWN_TOKEN = r"[\\u2E80-\\u9FFF\\uAC00-\\uD7AF\\u0E00-\\u0E7F\\uF900-\\uFAFF]"
 
 
@@ -29,30 +38,57 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def anchors(text: str) -> Column:
-    """Hashes of the text's anchors, in text order."""
+def placed(text: str) -> Column:
+    """The text's anchors, in text order: each one's hash above its position."""
     spaced = f"if({text} rlike '{_OWN_TOKEN}', regexp_replace({text}, '({_OWN_TOKEN})', ' $1 '), {text})"
     words = rf"filter(split({spaced}, '[ \\t-\\r]+'), w -> w <> '')"
     inner = "least(p[i + 1], p[i + 2])"
-    window = f"if(least(p[i], p[i + 3]) <= {inner}, xxhash64(p[i], p[i + 2], h[i + 4]) & 4294967295L, null)"
+    window = f"if(least(p[i], p[i + 3]) <= {inner}, shiftleft(xxhash64(p[i], p[i + 2], h[i + 4]) & 4294967295L, {PLACE}) | i, null)"
     many = _let("p", "zip_with(slice(h, 1, size(h) - 1), slice(h, 2, size(h) - 1), (a, b) -> xxhash64(a, b))", f"filter(transform(sequence(0, size(h) - {K}), i -> {window}), x -> x is not null)")
-    few = "if(size(h) = 0, cast(array() as array<bigint>), array(xxhash64(h) & 4294967295L))"
+    few = f"if(size(h) = 0, cast(array() as array<bigint>), array(shiftleft(xxhash64(h) & 4294967295L, {PLACE})))"
     return F.expr(_let("h", f"transform({words}, w -> xxhash64(w))", f"if(size(h) < {K}, {few}, {many})"))
 
 
-def sketch(text: str) -> Column:
-    """The fingerprint as an array of numbers."""
-    return F.slice(F.array_sort(F.array_distinct(anchors(text))), 1, SIZE)
+def hashes(column: str) -> str:
+    return f"transform({column}, x -> shiftrightunsigned(x, {PLACE}))"
+
+
+def anchors(text: str) -> Column:
+    """Hashes of the text's anchors, in text order."""
+    return F.transform(placed(text), lambda x: F.shiftrightunsigned(x, PLACE))
+
+
+def sketch(column: str) -> str:
+    """SQL for the least hashes of placed anchors."""
+    return f"slice(array_sort(array_distinct({hashes(column)})), 1, {SIZE})"
 
 
 def as_hex(column: str) -> str:
     return f"array_join(transform({column}, x -> lower(lpad(hex(x), 8, '0'))), '')"
 
 
+def placed_hex(column: str) -> str:
+    """SQL for all placed anchors as hex: hash and distance from the one before."""
+    return f"array_join(transform({column}, (x, i) -> concat(lower(lpad(hex(shiftrightunsigned(x, {PLACE})), 8, '0')), hex((x & {_MASK}) - if(i = 0, 0L, {column}[i - 1] & {_MASK})))), '')"
+
+
 def likeness(a: str, b: str) -> str:
-    """SQL for the likeness (0 to 1) of two fingerprints given as arrays."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {SIZE})"
-    return f"if(size({a}) = 0 and size({b}) = 0, 1.0D, " + _let("u", union, f"cast(size(array_intersect(array_intersect(u, {a}), {b})) as double) / size(u)") + ")"
+    """SQL for the likeness (0 to 1) of two texts' placed anchors."""
+
+    def firsts(column: str) -> str:
+        return _let("s", f"sort_array({column})", f"filter(s, (x, i) -> i = 0 or shiftrightunsigned(s[i - 1], {PLACE}) <> shiftrightunsigned(x, {PLACE}))")
+
+    here, before = (f"(shiftrightunsigned({x}, 1) & {_MASK})" for x in ("x", "m[i - 1]"))
+    both = "sort_array(concat(transform(fa, x -> x * 2L), transform(fb, x -> x * 2L + 1L)))"
+    pair = f"if(i > 0 and shiftrightunsigned(m[i - 1], {PLACE + 1}) = shiftrightunsigned(x, {PLACE + 1}), if((x & 1L) = 1L, shiftleft({before}, {PLACE}) | {here}, shiftleft({here}, {PLACE}) | {before}), null)"
+    # places in b of the shared anchors, in a's order
+    places = _let("m", both, f"transform(sort_array(filter(transform(m, (x, i) -> {pair}), x -> x is not null)), x -> x & {_MASK})")
+    # t: of each length, the least place at which an ascending choice can end
+    replaced = _let("k", "size(filter(t, y -> y < x))", "concat(slice(t, 1, k), array(x), slice(t, k + 2, size(t)))")
+    longest = f"aggregate(o, cast(array() as array<bigint>), (t, x) -> if(size(t) = 0 or x > t[greatest(size(t), 1) - 1], array_append(t, x), {replaced}), t -> size(t))"
+    agreeing = f"if(exists(transform(o, (x, i) -> i > 0 and o[greatest(i, 1) - 1] > x), x -> x), {longest}, size(o))"
+    share = _let("o", places, _let("n", agreeing, "cast(n as double) / (size(fa) + size(fb) - n)"))
+    return f"if(size({a}) = 0 and size({b}) = 0, 1.0D, " + _let("fa", firsts(a), _let("fb", firsts(b), share)) + ")"
 
 
 def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df, rows_each: int = 2000) -> DataFrame:
@@ -97,10 +133,13 @@ def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df, rows_e
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Per row: its fingerprint, that of its edited text (the second half replaced by the beginning of
-    the next document) and the likeness of both and of the next document's to it."""
+    """Per row: its fingerprint and all its anchors, those of its edited text (the second half replaced
+    by the beginning of the next document) and the likeness of both and of the next document's to it."""
     own = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') as text")
-    pairs = with_next(own, ["text", "fp"], lambda df: df.withColumn("fp", sketch("text"))).withColumn("half", F.expr("cast(floor(length(text) / 2) as int)"))
+    pairs = with_next(own, ["text", "fp"], lambda df: df.withColumn("fp", placed("text"))).withColumn("half", F.expr("cast(floor(length(text) / 2) as int)"))
     pairs = pairs.withColumn("edited", F.expr("concat(substring(text, 1, length(text) - half), substring(next_text, 1, half))"))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", sketch("edited").alias("edited_fp"))
-    return pairs.selectExpr("doc_id", "n_chars", "edited_sha256", f"{as_hex('fp')} as fingerprint", f"{as_hex('edited_fp')} as edited_fingerprint", f"{likeness('fp', 'edited_fp')} as near_edited", f"{likeness('fp', 'next_fp')} as near_next")
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", placed("edited").alias("edited_fp"))
+    return pairs.selectExpr(
+        "doc_id", "n_chars", "edited_sha256", f"{as_hex(sketch('fp'))} as fingerprint", f"{as_hex(sketch('edited_fp'))} as edited_fingerprint", f"{likeness('fp', 'edited_fp')} as near_edited", f"{likeness('fp', 'next_fp')} as near_next",
+        f"{placed_hex('fp')} as anchors", f"{placed_hex('edited_fp')} as edited_anchors",
+    )

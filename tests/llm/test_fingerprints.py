@@ -52,3 +52,33 @@ def test_one_and_none(spark):
     one = rows(fingerprints.compare(documents(spark, ["just one text"])))
     assert one[0]["near_next"] == 1.0
     assert fingerprints.compare(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def longest_ascending(xs):
+    best = []
+    for i, x in enumerate(xs):
+        best.append(1 + max((best[j] for j in range(i) if xs[j] < x), default=0))
+    return max(best, default=0)
+
+
+def test_anchors_keep_their_places_and_moved_text_is_less_like(spark):
+    first, second = (" ".join(f"{c}{i * i}" for i in range(1000)) for c in "pq")
+    passage = " ".join(f"shared{i}" for i in range(60))
+    others = [" ".join(f"{c}{i}" for i in range(3000)) for c in "xy"]
+    mixed = " ".join(" ".join(f"p{i * i}" for i in range(a, a + 50)) for a in (400, 0, 700, 300, 350, 900, 100))
+    ts = [f"{second} {first}", f"{first} {second}", f"{first} {second}", f"{others[0]} {passage}", f"{passage} {others[1]}", "a b", "a b", first, mixed]
+    found = {r["doc_id"]: r for r in rows(fingerprints.compare(documents(spark, ts)))}
+    placed = {}
+    for i, r in found.items():
+        parts = [(r["anchors"][j : j + 8], int(r["anchors"][j + 8], 16)) for j in range(0, len(r["anchors"]), 9)]
+        at, placed[i] = 0, {}
+        for anchor, distance in parts:
+            at += distance
+            placed[i].setdefault(anchor, at)
+        assert len(parts) == len(placed[i]) and (len(ts[i].split()) - 8 <= at <= len(ts[i].split()) - 5 or len(parts) == 1)
+    for i in found:
+        a, b = placed[i], placed[(i - 1) % len(ts)]
+        n = longest_ascending([b[x] for x in sorted(set(a) & set(b), key=a.get)])
+        assert abs(found[i]["near_next"] - n / (len(a) + len(b) - n)) < 1e-12
+    assert found[2]["near_next"] == 1.0 and 0.3 < found[1]["near_next"] < 0.35  # the halves changed places
+    assert found[4]["near_next"] > 0 and found[6]["near_next"] == 1.0  # a short passage in long texts
