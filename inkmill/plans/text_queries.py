@@ -148,6 +148,12 @@ def chunk_ids(spark, d):
     return out.select("chunk_id", "chapter_title", "content")
 
 
+@query(f"SELECT d.source || '_' || k.doc_id || '_chunk_' || k.chunk_index AS chunk_id, d.lang AS chapter_title, k.content FROM ({_chunks_sql(600, 100)}) k JOIN documents d USING (doc_id)")
+def chunk_ids_overlap(spark, d):
+    """As chunk_ids, with the operator's own size and overlap, over all documents."""
+    return parse.chunk_table(chapters_of_documents(spark, d), enders=ENDERS).select("chunk_id", "chapter_title", "content")
+
+
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d.00 B', n_chars) ELSE printf('%d.%02d KB', round_even(n_chars * 100 / 1024.0, 0)::bigint // 100, round_even(n_chars * 100 / 1024.0, 0)::bigint % 100) END AS label FROM documents")
 def file_size_label(spark, d):
     return read(spark, d, "documents").select("doc_id", T.file_size("n_chars").alias("label"))

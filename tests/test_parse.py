@@ -166,3 +166,17 @@ def test_labels(spark):
     assert [r[0] for r in q.select(T.extension("f")).collect()] == ["gz", ""]
     assert [r[0] for r in q.select(T.suggestions("m")).collect()] == [["查看所有整合决策", "修改这个决策", "查看知识点详情"], ["查看整合统计", "开始新的整合"]]
     assert [r[0] for r in q.select(T.title_from_filename("f")).collect()] == ["a.tar", "none"]
+
+
+def test_chunk_ids_of_cut_documents_equal_their_sql(spark):
+    import duckdb
+
+    from inkmill.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL["chunk_ids_overlap"]).fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["chunk_ids_overlap"](spark, sf).collect())
+    assert got == want and len(got) > con.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert any(i.endswith("_chunk_1") for i, _, _ in got)
