@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over batches of whole texts (numpy, no per-word Python).
 
 Words are maximal runs of bytes other than space and 0x09-0x0D.  A batch of texts is laid out as one
-byte buffer; word hashes come from one cumulative sum of byte values times powers of an odd base,
+byte buffer.  A word's hash is the sum of one random number for each byte and its place in the word
+(tabulation hashing: no structure in words makes two of them collide), taken from one cumulative sum,
 so a batch costs a handful of passes over its bytes whatever the number of words.
 """
 
@@ -12,9 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # ASCII letters and digits, ASCII signs other than the apostrophe, and all else
@@ -23,7 +21,6 @@ _KIND[[b for b in range(128) if chr(b).isalnum()]] = 1
 _KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,22 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    table = _powers.get(name)
-    if table is None or len(table) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        steps[0] = 1
-        table = _powers[name] = np.multiply.accumulate(steps)
-    return table
+#: The random number of each of the first places in a word and each byte; those of later places are made alike.
+_PLACES = 1 << 9
+_TABLE = mix(np.arange(_PLACES << 8, dtype=np.uint64) + U64(0x6A09E667F3BCC909))
 
 
-def span_hash(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the values in each span start:end, wherever it lies."""
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span start:end of bytes, wherever it lies; spans do not overlap."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value * _power("up", _BASE, len(value))[: len(value)], dtype=np.uint64)))
-    h = (total[end] - total[start]) * _power("down", _BASE_INV, len(value))[start]
-    return mix(h ^ (end - start).astype(np.uint64))
+    size = end - start
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    at = place + np.repeat(start, size)
+    key = (place << 8) | values[at]
+    own = _TABLE[key] if int(size.max()) <= _PLACES else mix(key.astype(np.uint64) + U64(0x6A09E667F3BCC909))
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(own, dtype=np.uint64)))
+    return mix((total[ends] - total[ends - size]) ^ size.astype(np.uint64))
 
 
 class Words:
@@ -77,7 +75,7 @@ class Words:
             cut = cut[~sep[cut] & ~sep[cut - 1]]
             self.start, self.end = np.sort(np.concatenate((self.start, cut))), np.sort(np.concatenate((self.end, cut)))
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends)))
-        self.hash = span_hash(_BYTE[self.buf], self.start, self.end)
+        self.hash = span_hash(self.buf, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -92,7 +90,8 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n > 0:
         acc = h[:n].copy()
-        for j in range(1, k):
+        for j in range(1, k):  # not a polynomial: the shift keeps regular sequences of words apart
+            acc ^= acc >> U64(31)
             acc *= U64(0xD6E8FEB86659FD93)
             acc += h[j : j + n]
         out[:n] = mix(acc)

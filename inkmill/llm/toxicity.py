@@ -54,7 +54,7 @@ def terms(texts: list[str | None], kept: np.ndarray | None = None) -> tuple[np.n
     at = np.flatnonzero(~(blank[1 : size + 1] | blank[2 : size + 2] | blank[3 : size + 3])) if size else np.zeros(0, np.int64)
     gram = mix(gram[at])
     flips = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
-    start, word = flips[0::2], span_hash(mix(wide + U64(77)), flips[0::2], flips[1::2])
+    start, word = flips[0::2], span_hash(buf, flips[0::2], flips[1::2])
     if kept is not None:
         some = kept[gram & U64(len(kept) - 1)]
         at, gram = at[some], gram[some]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,59 @@ def test_components_equal_brute_force(spark, texts, k, percent):
     assert [r["component_id"] for r in got] == comp
 
 
+def test_large_regions_are_divided_exactly(spark, texts, monkeypatch):
+    """Regions of more than four nodes go through pivots, cells with windows, and blocks."""
+    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 2)
+    _, comp = components(texts, 4, 85)
+    got = sorted(rows(jaccard_join.classes(documents(spark, texts), 4, 85)), key=lambda r: r["doc_id"])
+    assert [r["component_id"] for r in got] == comp
+
+
+def thue_morse(n):
+    """A word and its complement that polynomial hashes cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_polynomial_hash_are_not_one_word(spark):
+    one, other = thue_morse(1024)
+    rest = [f"w{i}" for i in range(12)]
+    texts = [" ".join([one, *rest]), " ".join([other, *rest])]
+    got = rows(jaccard_join.classes(documents(spark, texts), 4, 85))
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+    assert [r["n_removed"] for r in rows(substring_dedup.dedup(documents(spark, texts)))] == [0, 0]
+
+
+@pytest.mark.parametrize("most", [0, None])
+def test_cells_lose_no_link_and_a_forest_spans(texts, most, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", 5)
+    sets = {s.tobytes(): s for s in jaccard_join.shingle_sets(texts, 4) if len(s)}.values()
+    nodes = [jaccard_join._Node(i, len(s), jaccard_join.sketch_of(s), i) for i, s in enumerate(sets)]
+    plain = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i, a in enumerate(plain) for j, b in enumerate(plain) if i < j and 100 * len(a & b) >= 85 * len(a | b)}
+    found = list(jaccard_join._candidates(nodes, 85, most))
+    assert len(links) > 100
+    if most is None:
+        assert links <= set(found)
+    else:
+        comp = list(range(len(plain)))
+        for a, b in found:  # no edge of the forest closes a circle
+            assert comp[a] != comp[b]
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+        assert all(comp[a] == comp[b] for a, b in links)
+
+
+def test_sketches_bound_what_is_shared():
+    rng = random.Random(1)
+    for n, m, both in ((10, 12, 8), (500, 520, 500), (3000, 90, 90), (64, 64, 0)):
+        grams = [rng.getrandbits(64) for _ in range(n + m - both)]
+        make = lambda g, i: jaccard_join._Node(i, len(g), jaccard_join.sketch_of(np.array(sorted(g), dtype=np.uint64)), i)
+        a, b = make(grams[:n], 0), make(grams[n - both :], 1)
+        assert both <= jaccard_join._shared_at_most(a, b) <= min(n, m)
+    assert jaccard_join.word_set("A b  C d\te", 4) == {(b"a", b"b", b"c", b"d"), (b"b", b"c", b"d", b"e")}
+
+
 def test_representatives_keep_columns_and_one_of_repeated_rows(spark, texts):
     docs = documents(spark, texts[:60]).withColumn("th", F.lit("mine")).withColumn("node", F.lit(1))
     _, comp = components(texts[:60], 5, 80)
@@ -131,8 +185,6 @@ def test_small_slices_settle_the_same(spark, texts, monkeypatch):
 
 
 def test_hashes_and_packing():
-    import numpy as np
-
     a, b = textkit.Words(["x yy zzz", "yy", None, "é yy\x0bq"]), textkit.Words(["yy", "zzz é"])
     assert a.counts().tolist() == [3, 1, 0, 3]
     assert a.hash[1] == a.hash[3] == a.hash[5] == b.hash[0] and a.hash[2] == b.hash[1] and a.hash[4] == b.hash[2]
