@@ -48,7 +48,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.llm.session import discard, small_batches, stored
@@ -56,9 +56,9 @@ from inkmill.llm.textkit import U64, Words, mix, run_valid, runs, slices
 
 SLICE = 6_000_000
 #: Nodes that one task compares; larger regions are divided before.
-REGION = 1024
+REGION = 4096
 #: Pivots that a large region meets one after the other before what is left is dealt to blocks.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Candidates asked for between two components of a region: a spanning forest, so many, all.
 ROUNDS = (0, 16, None)
 #: Within a task cells of so many nodes are compared outright; others get so many pivots.
@@ -463,9 +463,14 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = slices_.groupBy("k1", "k2").agg(F.min("least").alias("least"), F.first(F.struct("doc_id", "th", "n", "anchors", "sketch")).alias("s"))
     nodes = stored(first.select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "least", "s.*"), "nodes")
 
-    anchors = nodes.select("nid", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("anchor")
-    members = stored(anchors.join(shared, "anchor"), "members")
+    anchors = nodes.select("nid", "n", F.explode("anchors").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("of")).where("of > 1")
+    every = stored(anchors.join(shared, "anchor"), "anchors")
+    # a node without another of a linking size in the region leaves it; large regions are left to their pivots
+    by_size = Window.partitionBy("anchor").orderBy("n")
+    beside = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    close = every.where(f"of <= {REGION}").withColumn("beside", beside).where("beside").select("anchor", "nid")
+    members = stored(close.unionByName(every.where(f"of > {REGION}").select("anchor", "nid")), "members")
     alike = members.groupBy("anchor").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("nid")).alias("x1"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("x2"))
     regions = stored(alike.groupBy("k", "x1", "x2").agg(F.min("anchor").alias("anchor")).select("anchor", "k"), "regions")
     join = _Join(texts, nodes, words, percent)
@@ -474,7 +479,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if regions.where(f"k > {REGION}").limit(1).count():
         small = small.unionByName(join.divide(chosen.where(f"k > {REGION}").select("region", "nid")))
     small = join.keep(small, "regions")
-    discard(members, regions)
+    discard(every, members, regions)
     join.finish(small)
 
     named = nodes.select("k1", "k2", "least", F.col("nid").alias("node")).join(join.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
