@@ -1,7 +1,8 @@
 """Packing token sequences by cutting-stock column generation.
 
 1. Each document's ids (and a closing id) are cut at multiples of the sequence length; what remains is
-   one piece.  Tokenising is one pass: the library encodes each distinct word once per worker.
+   one piece.  Tokenising is one pass: the library encodes each distinct word once per worker.  A text
+   that holds one of the tokenizer's added tokens goes to the library whole.
 2. The histogram of piece lengths, in units of ``unit`` tokens and so of bounded size, is collected.
    A linear program over packing patterns is solved by column generation: a revised simplex keeps the
    basis, and an unbounded-knapsack dynamic program prices new patterns.
@@ -11,7 +12,8 @@
    task) and the pattern table, of bounded size, tells each rank its sequence and place.
 
 Edge cases: null and empty texts have the closing id alone; repeated rows are packed each; ties in
-rank are broken by doc_id and start; an empty table gives an empty result; extra columns are ignored.
+rank are broken by doc_id and start; an empty table gives an empty result; extra columns are ignored;
+very long texts are encoded whole and cut into as many pieces as they need.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SENTINEL = "\x01"
 
 
 class WordIds:
-    """Token ids of words by hash; a word is given to the tokenizer the first time a worker sees it."""
+    """Token ids of words; a word is given to the tokenizer the first time a worker sees it.  Words are
+    told apart by their bytes; within one slice of texts by 64-bit tabulation hashes."""
 
     MOST = 1_500_000  # entries kept; beyond it the memory starts anew
 
@@ -42,12 +45,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
         self.mark = self.tokenizer.encode(SENTINEL, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.begin, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -70,12 +73,14 @@ class WordIds:
             ids = np.array(e.ids, dtype=np.uint32)
             marks = np.flatnonzero(ids == self.mark[0])
             ends, begins = np.append(marks, len(ids)), np.append(0, marks + 1)
-            assert len(ends) == len(group)
-            out += [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+            if len(ends) == len(group):
+                out += [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+            else:  # the mark's id stands for something else here too
+                out += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32) for w in group]
         return out
 
-    def add(self, hashes: list[int], words: list[str]) -> None:
-        ids = self._encode(words)
+    def add(self, words: list[bytes]) -> None:
+        ids = self._encode([w.decode("utf-8", "surrogatepass") for w in words])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.index), int(sizes.sum())
         while n + len(ids) > len(self.begin):
@@ -86,20 +91,30 @@ class WordIds:
         self.size[n : n + len(ids)] = sizes
         self.begin[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.index.update(zip(hashes, range(n, n + len(ids))))
+        self.index.update(zip(words, range(n, n + len(ids))))
+
+    def whole(self, text: str) -> np.ndarray | None:
+        """The ids of a text that cannot be taken word by word, else None."""
+        if not self.added:
+            return None
+        low = text.lower()
+        if not any(t in low for t in self.added):
+            return None
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, and where those of each text begin (one more at the end)."""
         if not len(words.hash):
             return np.zeros(0, np.uint32), np.zeros(len(words.first), np.int64)
-        kinds, sample, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        _, sample, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        data = words.buf.tobytes()
+        kinds = [data[a:b] for a, b in zip(words.start[sample].tolist(), words.end[sample].tolist())]
         if len(self.index) + len(kinds) > self.MOST:
             self.forget()
-        at = np.fromiter((self.index.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
+        at = np.fromiter((self.index.get(w, -1) for w in kinds), np.int64, len(kinds))
         new = np.flatnonzero(at < 0)
         if len(new):
-            data = words.buf.tobytes()
-            self.add(kinds[new].tolist(), [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(words.start[sample[new]].tolist(), words.end[sample[new]].tolist())])
+            self.add([kinds[i] for i in new.tolist()])
             at[new] = np.arange(len(self.index) - len(new), len(self.index))
         entry = at[inverse]
         size = self.size[entry]
@@ -124,10 +139,14 @@ def pieces(docs: DataFrame, tokenizer_file: str, closing_id: int = 2, length: in
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
-                ids, first = known.of(Words(texts[a:b], lower=True, parts=True))
-                data, rows = memoryview(ids.astype("<u4").tobytes()), []
+                whole = {i: ids for i, t in enumerate(texts[a:b]) if t and (ids := known.whole(t)) is not None}
+                ids, first = known.of(Words([None if i in whole else t for i, t in enumerate(texts[a:b])] if whole else texts[a:b], lower=True, parts=True))
+                together, rows = memoryview(ids.astype("<u4").tobytes()), []
                 close = int(closing_id).to_bytes(4, "little")
-                for doc_id, x, y in zip(doc_ids[a:b], first[:-1].tolist(), first[1:].tolist()):
+                for i, (doc_id, x, y) in enumerate(zip(doc_ids[a:b], first[:-1].tolist(), first[1:].tolist())):
+                    data = together
+                    if i in whole:
+                        data, x, y = memoryview(whole[i].astype("<u4").tobytes()), 0, len(whole[i])
                     tokens = y - x + 1
                     for s in range(0, tokens, length):
                         e = min(s + length, tokens)

@@ -4,12 +4,14 @@ A window is ``width`` consecutive words.  A word goes if a window over it also s
 smaller doc_id; windows are judged on the input.
 
 1. Each slice of the input sketches its windows: a window counts in the cell of its least inner run of
-   ``ANCHOR`` words (so neighbouring windows share cells), a cell being 40 bits of that run's hash.
-   Sketches are sparse counters; merged, shard by shard of the cells, they are a count-min sketch of one
-   row: a cell's count is never less than that of a window in it.  Cells that are counted for more
-   than one document are reported to their documents.
-2. Only windows in such cells, estimated repeated, are hashed in full and grouped exactly by shards of
-   the 64-bit hash: every document learns which of its windows start in a smaller doc_id too.
+   ``ANCHOR`` words, so neighbouring windows share cells.  The sketch has a thousand cells or more for
+   each word that the input may have, so it is sized from the data; its counters are kept sparse, as
+   the sorted list of those that are not 0.  Merged, shard by shard of the cells, they are a count-min
+   sketch of one row: a cell's count is never less than that of a window in it.  Cells that are counted
+   for more than one document are reported to their documents.
+2. Only windows in such cells, estimated repeated, are identified in full and grouped exactly, by shards:
+   every document learns which of its windows start in a smaller doc_id too.  A window's identity is two
+   hashes of its words, 96 bits together; words are hashed by tabulation.
 
 Within a slice each cell or window is settled first and sent once, for its smallest doc_id, so that a
 passage in a third of all rows sends one record a slice, not one a row.  Shards hold a bounded share of
@@ -35,17 +37,19 @@ from pyspark.sql import functions as F
 
 from inkmill.llm.packed import pack, unpack
 from inkmill.llm.session import small_batches
-from inkmill.llm.textkit import U64, Words, run_valid, runs, slices
+from inkmill.llm.textkit import U64, Words, mix, run_valid, runs, slices
 
 ANCHOR = 6
 SLICE = 6_000_000
+#: Bits of a cell's number beyond those that count the characters of the input.
+SPARE_BITS = 10
 _ASK, _AT, _HASH = 0, 1, 2  # a record for a shard; places of windows; hashes of cells or windows
-_MESSAGE = "shard long, kind int, key long, th long, keys binary, ths binary, data binary, owner binary"
+_MESSAGE = "shard long, kind int, key long, th long, keys binary, ths binary, data binary, owner binary, more binary"
 _REPLY = "bucket long, kind int, keys binary, ths binary, sizes binary, data binary"
 _FLAGS = "__ink_key long, __ink_th long, __ink_at binary, __ink_hash binary"
 
 
-def _windows(texts: list[str | None], width: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(texts: list[str | None], width: int, cell_bits: int = 64) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts: words, cell and full hash of the window that starts at each word, and if one does."""
     w = Words(texts)
     ok = run_valid(w.first, len(w.hash), width)
@@ -54,11 +58,20 @@ def _windows(texts: list[str | None], width: int) -> tuple[Words, np.ndarray, np
     cell = inner.copy()
     for j in range(1, width - anchor + 1):
         np.minimum(cell[: len(cell) - j], inner[j:], out=cell[: len(cell) - j])
-    return w, cell >> U64(24), runs(w.hash, width), ok
+    return w, cell >> U64(64 - cell_bits), runs(w.hash, width), ok
 
 
-def _first_of(sorted_: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate((np.ones(min(1, len(sorted_)), bool), sorted_[1:] != sorted_[:-1])))
+def _first_of(*sorted_: np.ndarray) -> np.ndarray:
+    """Where another combination of values begins in arrays that are ordered together."""
+    new = np.zeros(max(0, len(sorted_[0]) - 1), bool)
+    for v in sorted_:
+        new |= v[1:] != v[:-1]
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(sorted_[0])), bool), new)))
+
+
+def _second(w: Words, width: int) -> np.ndarray:
+    """32 more bits of the identity of the window at each word."""
+    return runs(mix(w.hash ^ U64(0x5851F42D4C957F2D)), width) >> U64(32)
 
 
 class _Out:
@@ -68,9 +81,9 @@ class _Out:
         self.rows: list[tuple] = []
 
     def flag(self, shards: int, key: int, th: int, kind: int, data: bytes) -> None:
-        self.rows.append(((key ^ th) % shards, kind, key, th, None, None, data, None))
+        self.rows.append(((key ^ th) % shards, kind, key, th, None, None, data, None, None))
 
-    def ask(self, shards: int, values: np.ndarray, owner: np.ndarray, keys: np.ndarray, ths: np.ndarray) -> None:
+    def ask(self, shards: int, values: np.ndarray, owner: np.ndarray, keys: np.ndarray, ths: np.ndarray, more: np.ndarray | None = None) -> None:
         """Send each value (sorted) with the number of its row (of keys and ths; one more: no answer wanted)."""
         shard = (values % U64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -79,16 +92,16 @@ class _Out:
         for a, b in zip(begins.tolist(), np.append(begins[1:], len(shard)).tolist()):
             own = owner[order[a:b]]
             used, number = np.unique(own, return_inverse=True)
-            self.rows.append((int(shard[a]), _ASK, 0, 0, pack(np.append(keys, 0)[used].view(np.uint64)), pack(np.append(ths, 0)[used].view(np.uint64)), pack(values[order[a:b]], True), pack(np.where(own == len(keys), -1, number))))
+            self.rows.append((int(shard[a]), _ASK, 0, 0, pack(np.append(keys, 0)[used].view(np.uint64)), pack(np.append(ths, 0)[used].view(np.uint64)), pack(values[order[a:b]], True), pack(np.where(own == len(keys), -1, number)), None if more is None else pack(more[order[a:b]])))
 
     def batch(self) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         names = [x.split()[0] for x in _MESSAGE.split(", ")]
-        columns = list(zip(*self.rows)) or [()] * 8
+        columns = list(zip(*self.rows)) or [()] * 9
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _sketch(shards: int, width: int):
+def _sketch(shards: int, width: int, cell_bits: int):
     """(key, th, text) -> messages: the slice's sketch, and what it settles itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +109,7 @@ def _sketch(shards: int, width: int):
             keys, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in slices([len(t or "") for t in texts], SLICE):
                 out = _Out()
-                w, cell, _, ok = _windows(texts[a:b], width)
+                w, cell, _, ok = _windows(texts[a:b], width, cell_bits)
                 at = np.flatnonzero(ok)
                 row = w.text_of_word()[at]
                 values = cell[at]
@@ -121,14 +134,15 @@ def _flag_places(out: _Out, shards: int, w: Words, at: np.ndarray, row: np.ndarr
         out.flag(shards, int(keys[r]), int(ths[r]), _AT, pack((at[x:y] - w.first[r]).astype(np.uint64), True))
 
 
-def _asked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All records of a shard: value, key, th, and if an answer is wanted."""
+def _asked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """All records of a shard: value, key, th, if an answer is wanted, and the rest of the identity."""
     parts = []
-    for keys, ths, data, owner in zip(pdf["keys"], pdf["ths"], pdf["data"], pdf["owner"]):
+    for keys, ths, data, owner, more in zip(pdf["keys"], pdf["ths"], pdf["data"], pdf["owner"], pdf["more"]):
         own = unpack(owner).view(np.int64)
         place = np.maximum(own, 0)
-        parts.append((unpack(data, True), unpack(keys).view(np.int64)[place], unpack(ths).view(np.int64)[place], own >= 0))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        parts.append((unpack(data, True), unpack(keys).view(np.int64)[place], unpack(ths).view(np.int64)[place], own >= 0, np.zeros(len(own), np.uint64) if more is None else unpack(more)))
+    kinds = (np.uint64, np.int64, np.int64, bool, np.uint64)
+    return tuple(np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
 
 
 def _by_row(key: np.ndarray, th: np.ndarray) -> list[tuple[int, int]]:
@@ -158,11 +172,11 @@ def _merge(shards: int, exact: bool):
         passed = pdf[pdf["kind"] != _ASK]
         one = pack(np.ones(1, np.uint64))
         out = [((k ^ t) % shards, _AT, pack(np.array([k]).view(np.uint64)), pack(np.array([t]).view(np.uint64)), one, d) for k, t, d in zip(passed["key"], passed["th"], passed["data"])]
-        value, key, th, wanted = _asked(pdf[pdf["kind"] == _ASK])
+        value, key, th, wanted, more = _asked(pdf[pdf["kind"] == _ASK])
         if len(value):
-            order = np.lexsort((key, value))
-            value, key, th, wanted = value[order], key[order], th[order], wanted[order]
-            begins = _first_of(value)
+            order = np.lexsort((key, more, value))
+            value, key, th, wanted, more = value[order], key[order], th[order], wanted[order], more[order]
+            begins = _first_of(value, more)
             size = np.diff(np.append(begins, len(value)))
             told = key > np.repeat(key[begins], size) if exact else wanted & np.repeat(size > 1, size)
             out += _replies(shards, value[told], key[told], th[told])
@@ -205,7 +219,7 @@ def _flagged(at: bytes | None, hash_: bytes | None, hashes: np.ndarray) -> np.nd
     return hit
 
 
-def _exact(shards: int, width: int):
+def _exact(shards: int, width: int, cell_bits: int):
     """(key, th, text, places, cells) -> messages: windows estimated repeated, and what the slice settles itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,23 +227,23 @@ def _exact(shards: int, width: int):
             keys, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in slices([len(t or "") for t in texts], SLICE):
                 out = _Out()
-                w, cell, full, ok = _windows(texts[a:b], width)
+                w, cell, full, ok = _windows(texts[a:b], width, cell_bits)
                 for i in range(a, b):
                     x, y = w.first[i - a], w.first[i - a + 1]
                     ok[x:y] &= _flagged(batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), cell[x:y])
                 at = np.flatnonzero(ok)
                 row = w.text_of_word()[at]
-                values, key = full[at], keys[a:b][row]
-                order = np.lexsort((row, key, values))
-                v, k, r = values[order], key[order], row[order]
-                begins = _first_of(v)
+                values, key, more = full[at], keys[a:b][row], _second(w, width)[at]
+                order = np.lexsort((row, key, more, values))
+                v, k, r, m = values[order], key[order], row[order], more[order]
+                begins = _first_of(v, m)
                 least = np.repeat(k[begins], np.diff(np.append(begins, len(v))))
                 later = np.sort(order[k > least])
                 _flag_places(out, shards, w, at[later], row[later], keys[a:b], ths[a:b])
                 first = k == least
-                v, r = v[first], r[first]
-                once = np.concatenate((np.ones(min(1, len(v)), bool), (v[1:] != v[:-1]) | (r[1:] != r[:-1])))
-                out.ask(shards, v[once], r[once], keys[a:b], ths[a:b])
+                v, r, m = v[first], r[first], m[first]
+                once = _first_of(v, m, r)
+                out.ask(shards, v[once], r[once], keys[a:b], ths[a:b], m[once])
                 yield out.batch()
 
     return run
@@ -245,17 +259,18 @@ def dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) -> DataFrame
     own = docs.select(key.alias("__ink_key"), th.alias("__ink_th"), *kept)
     characters = own.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-characters // 24_000_000))
+    cell_bits = min(64, characters.bit_length() + SPARE_BITS)
 
     def settle(messages: DataFrame, exact: bool) -> DataFrame:
         replies = messages.groupBy("shard").applyInPandas(_merge(shards, exact), _REPLY)
         return replies.groupBy("bucket").applyInPandas(_gather, _FLAGS)
 
     with_text = own.select("__ink_key", "__ink_th", F.col("text").cast("string").alias("text"))
-    repeated = settle(with_text.mapInArrow(_sketch(shards, width), _MESSAGE), False)
+    repeated = settle(with_text.mapInArrow(_sketch(shards, width, cell_bits), _MESSAGE), False)
     joined = own.join(repeated, ["__ink_key", "__ink_th"]).sortWithinPartitions("__ink_key", "__ink_th")
     # all columns go along unread, so that this join's shuffle of the rows is the last join's too
     windows = joined.select("__ink_key", "__ink_th", F.col("text").cast("string").alias("__ink_text"), "__ink_at", "__ink_hash", *kept)
-    verdict = settle(windows.mapInArrow(_exact(shards, width), _MESSAGE), True)
+    verdict = settle(windows.mapInArrow(_exact(shards, width, cell_bits), _MESSAGE), True)
 
     new = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if keep_text else [])
     names = [n for n, _ in new]

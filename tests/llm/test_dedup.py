@@ -178,6 +178,7 @@ def test_repeated_rows_and_one_id_with_two_texts(spark):
 
 
 def test_small_slices_settle_the_same(spark, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE", 2000)
     docs = documents(spark, texts).repartition(3)
     before = sorted((r["doc_id"], r["kept_sha256"]) for r in rows(substring_dedup.dedup(docs)))
     w = cut(texts, range(len(texts)), 13)

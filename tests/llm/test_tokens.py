@@ -22,6 +22,8 @@ def texts():
     alphabet = ["the", "Über", "'s", "don't", " ", "  ", "\n", "\t", "日本", "é", "!?", "...", "123", "<|endoftext|>", "\x01", "\xa0", "\x1c", "x-1", "Σας", "ΟΔΟΣ", "é", "🙂", "word"]
     made = ["".join(rng.choice(alphabet) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
     long = " ".join(rng.choice(["alpha", "beta", "gamma.", "Δέλτα", "\n\n x", "1 2"]) for _ in range(30_000))
+    bits = [bin(i).count("1") % 2 for i in range(1024)]  # two words of one polynomial hash
+    made += ["".join("ab"[b] for b in bits) + " x", "".join("ba"[b] for b in bits) + " x", "<|endoftext|> z", "a <|StartOfText|>b<|startoftext|>c", "<|endoftext |>"]
     return [*made, None, "", " ", long, "x" * 40_000, "a b " * 20_000, made[0]]
 
 
@@ -34,7 +36,7 @@ def test_ids_and_bytes_equal_the_library(spark, texts):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert bytes(got[i]["decoded"]) == (t or "").encode()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-    assert len(list(byte_bpe.safe_pieces(texts[153]))) > 5
+    assert len(list(byte_bpe.safe_pieces(texts[158]))) > 5
 
 
 def test_packing_covers_every_id_once(spark, texts):
@@ -42,7 +44,6 @@ def test_packing_covers_every_id_once(spark, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     ids = [np.array(e.ids + [2], "<u4") for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     found = rows(packing.pack(documents(spark, texts), WORDS))
     pieces, sequences = defaultdict(list), defaultdict(list)
