@@ -34,6 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: The random number of each of the first places in a word and each byte; those of later places are made alike.
 _PLACES = 1 << 9
+_STRETCH = 1 << 18
 _TABLE = mix(np.arange(_PLACES << 8, dtype=np.uint64) + U64(0x6A09E667F3BCC909))
 
 
@@ -43,12 +44,19 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, dtype=np.uint64)
     size = end - start
     ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    at = place + np.repeat(start, size)
-    key = (place << 8) | values[at]
-    own = _TABLE[key] if int(size.max()) <= _PLACES else mix(key.astype(np.uint64) + U64(0x6A09E667F3BCC909))
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(own, dtype=np.uint64)))
-    return mix((total[ends] - total[ends - size]) ^ size.astype(np.uint64))
+    out = np.empty(len(start), dtype=np.uint64)
+    begin = 0
+    while begin < len(start):  # some spans at a time, so that little memory is touched
+        base = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, base + _STRETCH, side="right")))
+        n, last = size[begin:stop], ends[begin:stop] - base
+        place = np.arange(last[-1]) - np.repeat(last - n, n)
+        key = (place << 8) | values[place + np.repeat(start[begin:stop], n)]
+        own = _TABLE[key] if int(n.max()) <= _PLACES else mix(key.astype(np.uint64) + U64(0x6A09E667F3BCC909))
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(own, dtype=np.uint64)))
+        out[begin:stop] = mix((total[last] - total[last - n]) ^ n.astype(np.uint64))
+        begin = stop
+    return out
 
 
 class Words:
