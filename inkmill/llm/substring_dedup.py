@@ -40,7 +40,7 @@ from inkmill.llm.session import small_batches
 from inkmill.llm.textkit import U64, Words, mix, run_valid, runs, slices
 
 ANCHOR = 6
-SLICE = 6_000_000
+SLICE = 2_000_000
 #: Bits of a cell's number beyond those that count the characters of the input.
 SPARE_BITS = 10
 _ASK, _AT, _HASH = 0, 1, 2  # a record for a shard; places of windows; hashes of cells or windows
