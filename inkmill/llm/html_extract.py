@@ -4,15 +4,17 @@
    around it and less for those above.  Its share of the page's score is a vote for the container's
    generalised path (tags, and classes without digits, from the body down).
 2. Spark adds the votes up per host and path; each host's winner has the most (ties: the first by
-   name).  Votes are summed before they are shuffled, so a host with a third of all pages is no burden.
-3. Each page is read again, and the text of its elements on the winning path is taken; a page without
+   name), and paths beside it, below the same parent, win too from ``BESIDE`` of its votes on.  Votes are
+   summed before they are shuffled, so a host with a third of all pages is no burden.
+3. Each page is read again, and the text of its elements on the winning paths is taken; a page without
    such an element, or with no text there, falls back on its own best container.
 
 Left out anywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments, by tag, role, class or id.  Blocks are trimmed, white space in them is one space,
-and they are joined in page order by newlines.  Character references are decoded.
+reader comments, by tag, role, class or id; the header of an article stays.  Blocks are trimmed, white
+space in them is one space, and they are joined in page order by newlines.  Character references are decoded.
 
-A class or id is only a hint.  One that tells a state (no-sidebar, has-header, comments-open) is none.
+A class or id is only a hint, and only if each of its parts names such a thing or is a plain word of
+layout: market-share and related-work are none.  One that tells a state (no-sidebar, has-header, comments-open) is none.
 One that tells a layout (right-sidebar, sidebar-wrap) counts unless its element holds most of the
 page's unlinked text, any other unless there also is an article, main or three paragraphs in it, and
 one of comments, which may well be longer than the article, unless there also is a main or h1 in it.
@@ -37,23 +39,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.session import small_batches
+from inkmill.llm.session import small_batches, stored
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I)
 _DIGITS = re.compile(r"[0-9]+")
-_ASIDE = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|ads?|adverts?|advertisement|advertising|banner|promo|sponsor(?:ed)?|"
-    r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comments?|disqus|respond|replies|"
-    r"related|recommended|recommendations|widget|pagination|pager|toolbar|copyright|skip)(?:$|[-_\s])"
+_ASIDES = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside ad ads advert adverts advertisement advertising banner promo sponsor sponsored "
+    "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget widgets "
+    "pagination pager toolbar copyright skip".split()
 )
-_COMMENT = re.compile(r"comment(?!ar|at)|reply|replies|disqus|respond")
+_COMMENTS = set("comment comments disqus respond reply replies".split())
+#: Parts of a class or id that neither make nor unmake a hint.
+_PLAIN = set(
+    "site page main top bottom inner outer box bar block list item items section area row col column module slot unit button buttons link links icon icons tools text title body group panel "
+    "primary secondary global mobile desktop sticky fixed first last small large post article entry story blog user reader form policy message us posts articles stories content id class js".split()
+)
+_ARTICLE = {"article", "post", "entry", "story", "content"}
+#: Of the winner's votes: from this share on a path below the same parent wins too.
+BESIDE = 0.2
 #: Parts of a class or id beside which a hint tells a page's state, and a layout.
 _STATES = {"no", "not", "non", "has", "have", "with", "without", "open", "opened", "closed", "enabled", "disabled"}
 _LAYOUTS = {"left", "right", "both", "layout", "wrap", "wrapper", "container"}
 _ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-_DROPPED = set("nav header footer aside form script style noscript template iframe svg canvas object button select option textarea input label fieldset menu dialog audio video head title math map datalist".split())
+_DROPPED = set("nav header footer aside form script style noscript template iframe canvas button select option textarea input fieldset menu dialog audio video head title datalist".split())
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -65,18 +75,18 @@ _KEEP_BY_NAME = {"html", "body", "main", "article", "p", "h1", "h2", "h3"}
 @lru_cache(1 << 16)
 def hint_of(tag: str, name: str) -> str:
     """What a class or id says of its element: '', 'layout', 'aside' or 'comment'."""
-    if tag in ("article", "section", "p") and _COMMENT.search(name) and ("comment" in name or "reply" in name):
-        kind = "comment"
-    elif tag not in _KEEP_BY_NAME and _ASIDE.search(name):
-        kind = "comment" if _COMMENT.search(name) else "aside"
-    else:
+    parts = [p for p in re.split(r"[-_\s]+", name) if p and not p.isdigit()]
+    if parts and parts[0] == "elementor" and "widget" in parts:  # what that builder calls any element, the article's text too
+        parts = [p for p in parts[1:] if p != "widget"]
+    said = set(parts)
+    if not _STATES.isdisjoint(said) or not said <= _ASIDES | _COMMENTS | _LAYOUTS | _PLAIN:
         return ""
-    parts = re.split(r"[-_\s]+", name)
-    if not _STATES.isdisjoint(parts):
+    if not _COMMENTS.isdisjoint(said):
+        return "" if tag in _KEEP_BY_NAME - {"article", "p"} else "comment"
+    asides = said & _ASIDES
+    if tag in _KEEP_BY_NAME or not asides or (asides == {"header"} and said & _ARTICLE):
         return ""
-    if parts[0] == "elementor" and "widget" in parts:  # what that builder calls any element, the article's text too
-        return hint_of(tag, "-".join(p for p in parts[1:] if p != "widget"))
-    return "layout" if kind == "aside" and not _LAYOUTS.isdisjoint(parts) else kind
+    return "layout" if said & _LAYOUTS else "aside"
 
 
 class Page:
@@ -89,6 +99,7 @@ class Page:
         self._kinds: dict[int, str] = {}
         self._pieces: list[tuple[int, list[tuple[str, int, bool]]]] = []  # element, its pieces: text, hint, linked
         self._stack, self._text, self._links = [0], [], 0
+        self._at: dict[str, list[int]] = defaultdict(list)  # where elements of each tag are in the stack
         self._read(source)
         self.blocks = self._kept(self._asides()) or (self._kept(set()) if self._kinds else [])
 
@@ -133,15 +144,23 @@ class Page:
                 asides.add(h)
         return asides
 
+    def _drop(self) -> None:
+        tag = self.tag[self._stack.pop()]
+        self._at[tag].pop()
+        self._links -= tag == "a"
+
     def _pop(self, depth: int) -> None:
         """Close elements until ``depth`` are open."""
         if any(self.tag[e] in _BLOCK for e in self._stack[depth:]):
             while len(self._stack) > depth and self.tag[self._stack[-1]] not in _BLOCK:
-                self._links -= self.tag[self._stack.pop()] == "a"
+                self._drop()
             self._flush()
-        for e in self._stack[depth:]:
-            self._links -= self.tag[e] == "a"
-        del self._stack[depth:]
+        while len(self._stack) > depth:
+            self._drop()
+
+    def _innermost(self, tags: set[str]) -> int:
+        """Where the innermost open element of these tags is in the stack, or 0."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in _ENDS_P:
@@ -156,7 +175,8 @@ class Page:
             return
         named = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
         classes = named.get("class", "").split()
-        drop = self.dropped[self._stack[-1]] or tag in _DROPPED or named.get("role") in _ASIDE_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        own_header = tag == "header" and bool(self._at["article"] or self._at["main"])
+        drop = self.dropped[self._stack[-1]] or (tag in _DROPPED and not own_header) or named.get("role") in _ASIDE_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         kinds = {hint_of(tag, c) for c in (*classes, named.get("id", "")) if c} if named and not drop else ()
         step = tag + "".join("." + c for c in sorted({_DIGITS.sub("", c).strip("-_") for c in classes} - {""}))
         above = self.path[self._stack[-1]]
@@ -169,19 +189,16 @@ class Page:
             if kind in kinds:
                 self._kinds[len(self.tag) - 1], self.hint[-1] = kind, len(self.tag) - 1
                 break
+        self._at[tag].append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
 
     def _close_last(self, tags: set[str], within: set[str]) -> None:
         """Close the innermost open element of these tags that no element of ``within`` separates."""
-        for depth in range(len(self._stack) - 1, max(0, len(self._stack) - 200), -1):
-            tag = self.tag[self._stack[depth]]
-            if tag in tags:
-                self._pop(depth)
-                if "td" in tags and tag != "tr" and "tr" in tags:
-                    continue
-                return
-            if tag in within:
+        while (depth := self._innermost(tags)) > self._innermost(within):
+            cell = self.tag[self._stack[depth]] != "tr" and "tr" in tags
+            self._pop(depth)
+            if not cell:  # a new row ends the last cell and then the last row
                 return
 
     def _read(self, source: str) -> None:
@@ -215,10 +232,8 @@ class Page:
             elif tag == "br":
                 self._text.append((" ", 0, False))
             elif tag not in ("html", "body"):
-                for depth in range(len(self._stack) - 1, max(0, len(self._stack) - 400), -1):
-                    if self.tag[self._stack[depth]] == tag:
-                        self._pop(depth)
-                        break
+                if depth := self._innermost({tag}):
+                    self._pop(depth)
         self._pop(1)
         self._flush()
 
@@ -257,9 +272,9 @@ class Page:
         return "\n".join(text for e, text, _ in self.blocks if inside[e])
 
 
-def extract_page(source: str | None, winner: str | None) -> str:
+def extract_page(source: str | None, winners: list[str] | None) -> str:
     page = Page(source or "")
-    text = page.text({e for e, p in enumerate(page.path) if p == winner}) if winner else ""
+    text = page.text({e for e, p in enumerate(page.path) if p in winners}) if winners else ""
     if not text:
         best = page.best()
         text = page.text({best}) if best is not None else "\n".join(t for _, t, _ in page.blocks)
@@ -282,16 +297,25 @@ def host_votes(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host", "path").agg(F.sum(F.round("votes", 6).cast("decimal(28,6)")).alias("votes"))
 
 
+def winning_paths(votes: DataFrame) -> DataFrame:
+    """(host, winner): the path with the most votes, and those beside it."""
+    votes = stored(votes, "votes")
+    best = votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).selectExpr("host", "best.path as best", "-best.col1 as most")
+    above = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    beside = (F.col("path") == F.col("best")) | (F.col("path").contains("/") & (above(F.col("path")) == above(F.col("best"))) & (F.col("votes") >= BESIDE * F.col("most")))
+    return votes.join(best, "host").where(beside).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("winner"))
+
+
 def extract(pages: DataFrame, share_hosts: int = 50_000) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of (page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark, 500)
     host = F.regexp_replace(F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.", "")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    won = host_votes(own).groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).selectExpr("host", "best.path as winner")
+    won = winning_paths(host_votes(own))
     some = won.limit(share_hosts + 1).collect()
     if len(some) <= share_hosts:
-        shared, joined = spark.sparkContext.broadcast({r["host"]: r["winner"] for r in some}), own.withColumn("winner", F.lit(None).cast("string"))
+        shared, joined = spark.sparkContext.broadcast({r["host"]: r["winner"] for r in some}), own.withColumn("winner", F.lit(None).cast("array<string>"))
     else:
         shared, joined = spark.sparkContext.broadcast({}), own.join(won, "host", "left")
 
