@@ -8,30 +8,51 @@ from pyspark.sql import functions as F
 from inkmill.functions.text import let
 
 
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)"
+
+
 def terms_sql(text: str) -> str:
     """All unigrams, then all bigrams of a text."""
-    words = f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)"
     pairs = "if(size(u) < 2, cast(array() as array<string>), zip_with(slice(u, 1, size(u) - 1), slice(u, 2, size(u) - 1), (a, b) -> concat(a, ' ', b)))"
-    return let("u", words, f"concat(u, {pairs})")
+    return let("u", words_sql(text), f"concat(u, {pairs})")
+
 
+def tfidf_fit(texts: DataFrame, features: int = 384, share_words: int = 100_000) -> DataFrame:
+    """The vocabulary (term, tf, df, idf): the ``features`` most frequent terms, ties by term.
 
-def tfidf_fit(texts: DataFrame, features: int = 384) -> DataFrame:
-    """The vocabulary (term, tf, df, idf): the ``features`` most frequent terms, ties by term.  Occurrences
-    and documents are counted in one pass, summed before the shuffle."""
+    A pair of words is no more frequent than either word, so only pairs of words that reach the count of
+    the ``features``-th word are counted; those words are shared with the tasks while they are at most
+    ``share_words`` (there may be many of one low count), and otherwise joined.  All counts are summed
+    before the shuffle; documents are counted for the terms chosen only."""
     n = texts.count()
-    each = texts.select(F.expr(let("t", terms_sql("text"), "concat(transform(t, x -> named_struct('term', x, 'tf', 1L, 'df', 0L)), transform(array_distinct(t), x -> named_struct('term', x, 'tf', 0L, 'df', 1L)))")).alias("t"))
-    counts = each.select(F.inline("t")).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    top = counts.orderBy(F.desc("tf"), "term").limit(features)
-    return top.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+    words = texts.select(F.explode(F.expr(words_sql("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    words = words.persist()
+    top = words.orderBy(F.desc("tf"), "term").limit(features).agg(F.min("tf").alias("least"), F.count("*").alias("k")).first()
+    often = words.where(F.col("tf") >= (top["least"] if top["k"] == features else 1)).select("term")
+    if often.count() <= share_words:
+        often = F.broadcast(often)
+    pairs = texts.select(F.expr(let("u", words_sql("text"), "arrays_zip(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)))")).alias("p"))
+    pairs = pairs.select(F.inline("p").alias("a", "b"))
+    for end in ("a", "b"):
+        pairs = pairs.join(often.withColumnRenamed("term", end), end, "left_semi")
+    counts = words.unionByName(pairs.groupBy("a", "b").agg(F.count("*").alias("tf")).select(F.concat("a", F.lit(" "), "b").alias("term"), "tf"))
+    rows = counts.orderBy(F.desc("tf"), "term").limit(features).collect()  # as many as there are features
+    words.unpersist()
+    top = F.broadcast(texts.sparkSession.createDataFrame(rows, "term string, tf long"))
+    each = texts.select(F.explode(F.expr(f"array_distinct({terms_sql('text')})")).alias("term"))
+    df = each.join(top.select("term"), "term").groupBy("term").agg(F.count("*").alias("df"))
+    return top.join(df, "term").withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
 def tfidf_transform(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, term, weight) with unit length by id, of texts (id, text); the vocabulary (bounded by its
-    feature count) goes to every task, so only its terms are shuffled."""
+    feature count) goes to every task, so only its terms, counted by text, are shuffled."""
     found = texts.select("id", F.explode(F.expr(terms_sql("text"))).alias("term")).join(F.broadcast(vocabulary.select("term", "idf")), "term")
-    weights = found.groupBy("id", "term", "idf").count().withColumn("w", (1 + F.log("count")) * F.col("idf"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weights = found.groupBy("id", "term", "idf").count().select("id", "term", ((1 + F.log("count")) * F.col("idf")).alias("w"))
+    # a text has at most as many rows here as the vocabulary
+    by_id = weights.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return by_id.select("id", "norm", F.inline("t")).select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def dense(weights: DataFrame, vocabulary: DataFrame, features: int = 384) -> DataFrame:

@@ -38,11 +38,12 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             ids, q = shared.value
             for pdf in batches:
                 own, x = pdf["id"].to_numpy(), _unit(np.array(pdf["vector"].tolist(), dtype=np.float64))
-                for i, row in enumerate(q @ x.T):
-                    row = np.where(own == ids[i], -np.inf, row)
-                    best = np.lexsort((own, -row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"query_id": ids[i], "id": own[best], "similarity": row[best]})
+                score = q @ x.T
+                score[ids[:, None] == own[None, :]] = -np.inf
+                # of each query the rows that reach its k-th score: ties at the border all go on
+                edge = score if score.shape[1] <= k else np.partition(score, -k, axis=1)[:, -k:]
+                at, row = np.nonzero((score >= edge.min(axis=1)[:, None]) & np.isfinite(score))
+                yield pd.DataFrame({"query_id": ids[at], "id": own[row], "similarity": score[at, row]})
 
         hits = vectors.select("id", "vector").mapInPandas(search, "query_id long, id long, similarity double")
         found = hits if found is None else found.unionByName(hits)
@@ -57,10 +58,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def similar_pairs(items: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float, block: int = 2048, count: int | None = None) -> DataFrame:
     """(id1, id2, book1, book2, similarity) of items (id, book, vector) of different books, book1 < book2,
-    with cosine >= threshold."""
-    n = items.count()
+    with cosine >= threshold.  ``count``: how many items there are, about, if that is known."""
+    n = items.count() if count is None else count
     blocks = max(1, -(-n // block))
     dealt = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = dealt.select("id", "book", "vector", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("hi"), F.col("b").alias("lo"), F.lit(0).alias("side"))

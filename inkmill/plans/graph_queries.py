@@ -120,7 +120,8 @@ def tfidf_fit(spark, d):
 
 def _weights(spark, d):
     texts = _texts(spark, d)
-    vocabulary = embed.tfidf_fit(texts).persist()  # 384 rows, read twice or more
+    fitted = embed.tfidf_fit(texts)
+    vocabulary = spark.createDataFrame(fitted.collect(), fitted.schema)  # 384 rows, read twice or more
     return texts, vocabulary, embed.tfidf_transform(texts, vocabulary)
 
 
@@ -140,7 +141,7 @@ def _pairs(spark, d):
     """Documents of different sources whose TF-IDF cosine is at least 0.7."""
     texts, vocabulary, weights = _weights(spark, d)
     items = embed.dense(weights, vocabulary).join(texts.select("id", "book"), "id")
-    return vector.similar_pairs(items, 0.7)
+    return vector.similar_pairs(items, 0.7, count=texts.count())
 
 
 @query(f"{_PAIRS} SELECT id1, id2, book1, book2, round(similarity, 6) AS similarity FROM pairs")
@@ -183,7 +184,7 @@ def _document_nodes(spark, d):
 
 
 def _document_relations(spark, d):
-    """Labelled documents relate to the benchmark item of the same number modulo their count, as documents."""
+    """Each labelled document relates to the document of the next number."""
     return read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("source"), (F.col("doc_id") + 1).cast("string").alias("target"), F.lit("next").alias("relation_type"), F.col("doc_id").alias("seq"))
 
 
