@@ -38,7 +38,7 @@ class WordIds:
     """Token ids of words; a word is given to the tokenizer the first time a worker sees it.  Words are
     told apart by their bytes; within one slice of texts by 64-bit tabulation hashes."""
 
-    MOST = 250_000  # entries kept; beyond it the memory starts anew
+    MOST = 600_000  # entries kept; beyond it the memory starts anew
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, closing_id: int = 2, length: in
         known = word_ids(tokenizer_file)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1_000_000):
+            for a, b in slices([len(t or "") for t in texts], 2_000_000):
                 whole = {i: ids for i, t in enumerate(texts[a:b]) if t and (ids := known.whole(t)) is not None}
                 ids, first = known.of(Words([None if i in whole else t for i, t in enumerate(texts[a:b])] if whole else texts[a:b], lower=True, parts=True))
                 together, rows = memoryview(ids.astype("<u4").tobytes()), []
