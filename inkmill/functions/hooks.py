@@ -83,9 +83,10 @@ def verify_pairs(pairs: DataFrame, provider: Provider) -> DataFrame:
 
 
 def decision_reasons(decisions: DataFrame, provider: Provider) -> DataFrame:
-    """Decisions (with action and prompt) and reason, reason_confidence; the fall-back names the action."""
+    """Decisions (with action and prompt) and reason, reason_confidence; an answer without a
+    reason says so, and the fall-back for no valid answer names the action."""
     found = answers(decisions, provider).withColumn("j", F.from_json(fenced_json("answer"), "reason string, confidence double"))
-    return found.select(*decisions.columns, F.coalesce("j.reason", F.concat(F.lit("基于规则判断: "), "action")).alias("reason"), F.coalesce("j.confidence", F.lit(0.5)).alias("reason_confidence"))
+    return found.select(*decisions.columns, F.when(F.col("j").isNull(), F.concat(F.lit("基于规则判断: "), "action")).otherwise(F.coalesce("j.reason", F.lit("无理由"))).alias("reason"), F.coalesce("j.confidence", F.lit(0.5)).alias("reason_confidence"))
 
 
 def answer_questions(questions: DataFrame, provider: Provider) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import vectors as V
-from inkmill.operators import dialogue, embed, vector
+from inkmill.operators import dialogue, embed, integrate, vector
 from inkmill.plans.tables import read
 
 QUERIES, ORACLE = {}, {}
@@ -39,6 +39,14 @@ def cosine_pairs(spark, d):
     return vector.similar_pairs(_vectors(spark, d), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"WITH {_SIMILAR} SELECT vec_id::varchar AS id, label AS book FROM embeddings WHERE vec_id NOT IN (SELECT id2 FROM s WHERE similarity >= 0.3 AND (round(similarity, 6) >= 0.9 OR round(similarity, 6) < 0.7))")
+def apply_removals(spark, d):
+    """Pairs below the band of what is kept: the second of each is removed."""
+    own = _vectors(spark, d).select(F.col("id").cast("string").alias("id"), "book", F.col("book").cast("string").alias("definition"))
+    pairs = vector.similar_pairs(_vectors(spark, d), 0.3).select(F.col("id1").cast("string").alias("node1_id"), F.col("id2").cast("string").alias("node2_id"), F.round("similarity", 6).alias("confidence"))
+    return integrate.apply_decisions(own, integrate.decide(pairs, own)).select("id", "book")
+
+
 _QUERY_SQL = "(SELECT embedding::double[] FROM embeddings WHERE vec_id = 7)"
 _TOP = f"t AS (SELECT vec_id AS id, list_cosine_similarity(embedding::double[], {_QUERY_SQL}) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 5)"
 

@@ -1,5 +1,7 @@
 """Dialogue windows, state, the stream, stores, files and model hooks."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,11 +66,42 @@ def test_files_and_encodings(spark, tmp_path):
     assert got == [("a", "章节 1", "前言"), ("a", "第一章 甲", "内容\nx"), ("b", "第二章 乙", "国语"), ("c", "A", "x"), ("c", "B", "y"), ("d", "章节 1", "no headings")]
     (tmp_path / "e.odd").write_text("x")
     with pytest.raises(ValueError):
-        files.parse_files(spark, str(tmp_path))
+        files.parse_files(spark, str(tmp_path), strict=True)
+    assert files.parse_files(spark, str(tmp_path)).count() == 6
     sizes = spark.createDataFrame([("a.TXT", 200 * 1024 * 1024), ("b.pdf", 200 * 1024 * 1024 + 1), ("c.exe", 1)], "filename string, size long")
     assert [r["accepted"] for r in files.upload_check(sizes).collect()] == [True, False, False]
 
 
+def archive(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+
+
+def test_office_files_and_failures_alone(spark, tmp_path):
+    w, m = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    p = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    archive(tmp_path / "a.docx", {
+        "word/document.xml": f"<w:document {w}><w:body>{p('first')}{p('One', 'x1')}{p('a &amp; b')}<w:tbl><w:tr><w:tc>{p('in a table')}</w:tc></w:tr></w:tbl>{p('第二章 Two')}{p('c')}</w:body></w:document>",
+        "word/styles.xml": f"<w:styles {w}><w:style w:styleId='x1'><w:name w:val='heading 1'/></w:style></w:styles>",
+    })
+    sheet = lambda rows: f"<worksheet {m}><sheetData>{rows}</sheetData></worksheet>"
+    archive(tmp_path / "b.xlsx", {
+        "xl/workbook.xml": f"<workbook {m} xmlns:r='http://schemas.openxmlformats.org/officeDocument/2006/relationships'><sheets><sheet name='S1' r:id='r1'/><sheet name='S2' r:id='r2'/></sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='r1' Target='worksheets/s1.xml'/><Relationship Id='r2' Target='/xl/worksheets/s2.xml'/></Relationships>",
+        "xl/sharedStrings.xml": f"<sst {m}><si><t>word</t></si></sst>",
+        "xl/worksheets/s1.xml": sheet("<row r='1'><c r='A1' t='s'><v>0</v></c><c r='C1'><v>1.5</v></c></row><row r='3'><c r='B3' t='b'><v>1</v></c><c r='C3' t='inlineStr'><is><t>in</t></is></c></row>"),
+        "xl/worksheets/s2.xml": sheet(""),
+    })
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    got = [(r["textbook_id"], r["title"], r["content"]) for r in files.parse_files(spark, str(tmp_path)).orderBy("textbook_id", "chapter_id").collect()]
+    assert [g[0] for g in got] == ["a", "a", "a", "b"]
+    assert [g[2] for g in got] == ["first", "a & b", "c", "word\t\t1.5\n\tTrue\tin"] and [g[1] for g in got][1:] == ["One", "第二章 Two", "S1"]
+    status = {r["filename"]: (r["parse_status"], r["error_message"], r["chapter_count"]) for r in files.parse_status(spark, str(tmp_path)).collect()}
+    assert status == {"a.docx": ("completed", None, 3), "b.xlsx": ("completed", None, 1), "c.docx": ("failed", "cannot be read", 0), "d.pdf": ("failed", "unsupported file format: .pdf", 0)}
+
+
 def test_sheets_and_paragraphs(spark):
     cells = [("p", "f.xlsx", 0, "S1", 0, ["a", None, "b"]), ("p", "f.xlsx", 0, "S1", 1, [None, " "]), ("p", "f.xlsx", 1, "S2", 0, [""]), ("p", "f.xlsx", 2, "S3", 0, ["c"]), ("q", "g.xlsx", 0, "S", 0, [None])]
     got = files.cells_to_chapters(spark.createDataFrame(cells, "path string, filename string, sheet_no int, sheet string, row int, cells array<string>")).orderBy("path", "chapter_id").collect()
@@ -87,6 +120,8 @@ def test_store(spark, tmp_path):
     store.save_graph("f2", nodes.limit(1), links)
     store.save_graph("f1", nodes.where("id = 'n2'"), links)
     assert [r["id"] for r in store.nodes.load("f1").collect()] == ["n2"] and store.nodes.load("f2").count() == 1
+    store.save_graph("f2", nodes.limit(1), links.limit(0))
+    assert store.relations.load("f2").count() == 0 and store.relations.load("f1").count() == 1
     assert store.delete_graph("f1") and not store.delete_graph("f1")
     assert [r[0] for r in store.nodes.keys().collect()] == ["f2"]
     vectors = spark.createDataFrame([("i", "a", [1.0, 0.0], "text a"), ("i", "b", [0.0, 1.0], "text b")], "index_name string, id string, vector array<double>, content string")
