@@ -30,6 +30,25 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_with_production_parameters(spark):
+    """Blocks hold far more vectors than ``enough``, so most codes are never reranked."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = df.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in table]), np.array([r["embedding"] for r in table], dtype=np.float64)
+    assert len(ids) > 4 * 401
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    found = {}
+    for r in rows(ann.nearest(df, "vec_id % 50 = 0")):
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[i]
+        s[i] = -2
+        hit, total = hit + len(found[ids[i]] & set(ids[np.argsort(-s)[:5]].tolist())), total + 5
+    assert total >= 150 and hit / total >= 0.9
+    print("recall", hit / total)
+
+
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 256, (500, 4)).astype(np.uint8)
