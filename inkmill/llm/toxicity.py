@@ -4,7 +4,7 @@ Fitting takes a bounded, uniform sample of labelled rows (``sample``).  Terms ar
 5-grams in them (a blank at either end), hashed.  Most terms of a text say nothing about the label and
 would drown a cosine, so the vocabulary is those terms whose examples are toxic at three times the
 overall rate (or half-way from it to 1) and by a likelihood-ratio statistic beyond what chance gives for as many terms
-tried, at most ``vocabulary`` of them.  Examples are weighted (1 + ln tf) * idf over it, with unit length.
+tried.  All such terms are taken; the sample bounds how many there can be.  Examples are weighted (1 + ln tf) * idf over it, with unit length.
 
 The index keeps each term's postings in blocks of example numbers with the greatest weight in each.  A
 text's blocks are read in order of their upper bound until no block can hold a better neighbour, so
@@ -179,7 +179,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: int = 4096) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> ToxicityModel:
     """Learn from at most ``sample`` rows of ``labels`` (doc_id, toxic), drawn evenly by a hash of
     doc_id, and the texts of ``docs`` (doc_id, text).  What is broadcast and kept has that bound."""
     spark = docs.sparkSession
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: in
     tried, rows = 0, []
     if 0 < positive < size:
         scored = counts.withColumn("g2", F.expr(g2))
-        top = scored.where(f"g2 > 15 and dt / df > {min(3 * rate, (1 + rate) / 2)}D").orderBy(F.desc("g2"), "term").limit(vocabulary).collect()
+        top = scored.where(f"g2 > 15 and dt / df > {min(3 * rate, (1 + rate) / 2)}D").select("term", "df", "g2").collect()
         tried = max(2, counts.count())
         rows = [r for r in top if r["g2"] > 2 * np.log(tried)]
     order = np.argsort(np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)) if rows else []
@@ -227,14 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary: in
                 at = np.searchsorted(shared.value, hashed[a:b])
                 at = at[shared.value[np.minimum(at, len(shared.value) - 1)] == hashed[a:b]] if len(shared.value) else at[:0]
                 term, tf = np.unique(at, return_counts=True)
-                ids.append(term.astype("<u2").tobytes())
+                ids.append(term.astype("<u4").tobytes())
                 tfs.append(tf.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], names=["doc_id", "toxic", "term", "tf"])
 
     examples = sorted(drawn.mapInArrow(features, "doc_id long, toxic int, term binary, tf binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["term"]))
     labels = np.array([float(r["toxic"] == 1) for r in examples])
     model = ToxicityModel(known, idf, np.array([-1 if r["doc_id"] is None else r["doc_id"] for r in examples], dtype=np.int64), labels, BlockMax(0, []), rate)
-    vectors = [model._weigh(np.frombuffer(r["term"], "<u2").astype(np.int64), np.frombuffer(r["tf"], "<u4")) for r in examples]
+    vectors = [model._weigh(np.frombuffer(r["term"], "<u4").astype(np.int64), np.frombuffer(r["tf"], "<u4")) for r in examples]
     model.index = BlockMax(len(known), vectors)
     if examples:
         raw = np.array([model.raw(v, leave=i)[0] for i, v in enumerate(vectors)])
