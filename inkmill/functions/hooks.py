@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.text import fenced_json, flat_json, model_json, node_id
+from inkmill.functions.vectors import normalise
 from inkmill.operators import graph, parse
 
 Provider = Callable[[list[str]], list[str | None]]
@@ -21,43 +22,80 @@ NODES_DDL = "array<struct<name: string, definition: string, category: string>>"
 RELATIONS_DDL = "array<struct<source: string, target: string, relation_type: string, description: string>>"
 
 
-def with_retries(provider: Provider, attempts: int = 3) -> Provider:
-    """Ask again, one prompt at a time, for what failed; what fails ``attempts`` times is None."""
-
-    def ask(prompts: list[str]) -> list[str | None]:
-        out: list[str | None] = []
-        for prompt in prompts:
-            answer = None
-            for _ in range(attempts):
-                try:
-                    answer = provider([prompt])[0]
-                    break
-                except Exception:  # a provider may fail in any way; the row's answer is then null
-                    continue
-            out.append(answer)
+def with_retries(provider: Provider, attempts: int = 3, together: int = 16) -> Callable[[list[str]], list[tuple[str | None, str | None]]]:
+    """(answer, error) of each prompt.  Prompts go to the provider ``together`` at a time; those of a list
+    that fails, or is answered in another number, are asked one by one, ``attempts`` times each."""
+
+    def alone(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(attempts):
+            try:
+                return provider([prompt])[0], None
+            except Exception as e:  # a provider may fail in any way; the row then has the last error
+                error = str(e) or type(e).__name__
+        return None, error
+
+    def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        out: list[tuple[str | None, str | None]] = []
+        for i in range(0, len(prompts), together):
+            some = prompts[i : i + together]
+            try:
+                found = list(provider(some)) if len(some) > 1 else []
+            except Exception:  # which prompt it was shows when they are asked alone
+                found = []
+            out += [(f, None) for f in found] if len(found) == len(some) else [alone(p) for p in some]
         return out
 
     return ask
 
 
 def answers(prompts: DataFrame, provider: Provider, attempts: int = 3) -> DataFrame:
-    """``prompts`` (with a column prompt) and their ``answer``."""
+    """``prompts`` (with a column prompt) and their ``answer``, or null and the ``error``."""
     ask = with_retries(provider, attempts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["answer"] = ask(pdf["prompt"].tolist())
-            yield pdf
+            found = ask(pdf["prompt"].tolist())
+            yield pdf.assign(answer=[a for a, _ in found], error=[e for _, e in found])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{ddl}, answer string")
+    return prompts.mapInPandas(run, f"{ddl}, answer string, error string")
 
 
-def extract_graph(chapters: DataFrame, provider: Provider, most: int = 6000) -> tuple[DataFrame, DataFrame]:
-    """Nodes and relations of chapters (textbook_id, chapter_id, title, content, page_start): segments are
-    put to the provider, answers are JSON with nodes and relations; a segment whose answer is not is skipped."""
+def dense_encoder(model: Callable[[list[str]], list[list[float]]], together: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """An encoder of texts (id, text) as (id, vector), of unit length, from a function that gives the
+    vectors of a list of texts."""
+
+    def encode(texts: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own = pdf["text"].fillna("").tolist()
+                found = [list(map(float, v)) for i in range(0, len(own), together) for v in model(own[i : i + together])]
+                yield pd.DataFrame({"id": pdf["id"], "vector": found})
+
+        kind = dict(texts.dtypes)["id"]
+        return texts.select("id", "text").mapInPandas(run, f"id {kind}, vector array<double>").select("id", normalise("vector").alias("vector"))
+
+    return encode
+
+
+def segment_answers(chapters: DataFrame, provider: Provider, most: int = 6000) -> DataFrame:
+    """(textbook_id, chapter_id, title, page_start, segment, answer) of each segment of chapters
+    (textbook_id, chapter_id, title, content, page_start)."""
     cut = chapters.select("textbook_id", "chapter_id", "title", "page_start", F.posexplode(parse.segments("content", most)).alias("segment", "prompt"))
-    found = answers(cut, provider).withColumn("j", F.from_json(model_json("answer"), f"nodes {NODES_DDL}, relations {RELATIONS_DDL}")).where("j is not null")
+    return answers(cut, provider).drop("prompt", "error")
+
+
+def extract_graph(chapters: DataFrame, provider: Provider, most: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """Nodes and relations of chapters; both read the answers, so where a model is dear, store those
+    (``segment_answers``) and read the graph from them (``graph_of_answers``)."""
+    return graph_of_answers(segment_answers(chapters, provider, most))
+
+
+def graph_of_answers(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and relations from the answers of segments, JSON with nodes and relations; a segment whose
+    answer is not is skipped."""
+    found = segments.withColumn("j", F.from_json(model_json("answer"), f"nodes {NODES_DDL}, relations {RELATIONS_DDL}")).where("j is not null")
     where = ["textbook_id", "chapter_id", "title", "page_start", "segment"]
     n = found.select(*where, F.posexplode("j.nodes").alias("i", "n")).where("n.name is not null")
     seq = F.struct("chapter_id", "segment", "i")
@@ -77,9 +115,12 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 
 def verify_pairs(pairs: DataFrame, provider: Provider) -> DataFrame:
-    """Pairs (with a prompt) and is_equivalent, confidence, reason; no valid answer: false, 0.0, a message."""
-    found = answers(pairs, provider).withColumn("j", F.from_json(flat_json("answer"), "is_equivalent boolean, confidence double, reason string"))
-    return found.select(*pairs.columns, F.coalesce("j.is_equivalent", F.lit(False)).alias("is_equivalent"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("j.reason", F.lit("验证失败")).alias("reason"))
+    """Pairs (with a prompt) and is_equivalent, confidence, reason: fields that a valid answer lacks are
+    false, 0.5 and that there is no reason; without a valid answer false, 0.0 and what went wrong."""
+    found = answers(pairs, provider).withColumn("j", F.from_json(F.coalesce(flat_json("answer"), fenced_json("answer")), "is_equivalent boolean, confidence double, reason string"))
+    failed = F.concat(F.lit("LLM验证失败: "), F.coalesce("error", F.lit("no valid JSON")))
+    own = [c for c in pairs.columns if c not in ("is_equivalent", "confidence", "reason")]
+    return found.select(*own, F.coalesce("j.is_equivalent", F.lit(False)).alias("is_equivalent"), F.when(F.col("j").isNull(), 0.0).otherwise(F.coalesce("j.confidence", F.lit(0.5))).alias("confidence"), F.when(F.col("j").isNull(), failed).otherwise(F.coalesce("j.reason", F.lit("无理由"))).alias("reason"))
 
 
 def decision_reasons(decisions: DataFrame, provider: Provider) -> DataFrame:
@@ -90,10 +131,12 @@ def decision_reasons(decisions: DataFrame, provider: Provider) -> DataFrame:
 
 
 def answer_questions(questions: DataFrame, provider: Provider) -> DataFrame:
-    """Questions (with context and prompt) and answer: without context, that nothing was found; after a
-    failure, an error text."""
-    asked = answers(questions.where("context <> ''"), provider).withColumn("answer", F.coalesce("answer", F.lit("生成答案时出错")))
-    return asked.unionByName(questions.where("context is null or context = ''").withColumn("answer", F.lit(NOT_FOUND)))
+    """Questions (with context and prompt), ``answer`` and ``answered``: without context, that nothing was
+    found; after a failure, the error's text.  Only real answers are ``answered``."""
+    asked = answers(questions.where("context <> ''"), provider)
+    text = F.coalesce("answer", F.concat(F.lit("生成答案时出错: "), F.coalesce("error", F.lit(""))))
+    asked = asked.withColumns({"answer": text, "answered": F.col("answer").isNotNull()}).drop("error")
+    return asked.unionByName(questions.where("context is null or context = ''").withColumns({"answer": F.lit(NOT_FOUND), "answered": F.lit(False)}))
 
 
 def rule_provider(prompts: list[str]) -> list[str]:

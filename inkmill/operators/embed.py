@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,31 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str = "tfidf") -> Da
     """Texts whose (model, md5) the cache (model, key) does not hold."""
     keyed = texts.withColumn("key", F.md5(F.col("text").cast("binary")))
     return keyed.join(cache.where(F.col("model") == model).select("key").distinct(), "key", "left_anti")
+
+
+Encoder = Callable[[DataFrame], DataFrame]
+
+
+def tfidf_encoder(vocabulary: DataFrame, features: int = 384) -> Encoder:
+    """An encoder of texts (id, text) as (id, vector): unit TF-IDF vectors, of zeros where no term is known."""
+
+    def encode(texts: DataFrame) -> DataFrame:
+        found = dense(tfidf_transform(texts, vocabulary), vocabulary, features)
+        zero = F.expr(f"array_repeat(0D, {features})")
+        return texts.select("id").join(found, "id", "left").withColumn("vector", F.coalesce("vector", zero))
+
+    return encode
+
+
+def fresh_vectors(texts: DataFrame, cache: DataFrame, encode: Encoder, model: str = "tfidf") -> DataFrame:
+    """Rows for the cache (model, key, vector): each distinct text that it lacks is encoded once."""
+    missing = cache_misses(texts, cache, model).groupBy("key").agg(F.first("text").alias("text"))
+    return encode(missing.select(F.col("key").alias("id"), "text")).select(F.lit(model).alias("model"), F.col("id").alias("key"), "vector")
+
+
+def encode_cached(texts: DataFrame, cache: DataFrame, fresh: DataFrame, model: str = "tfidf") -> DataFrame:
+    """``texts`` with their ``vector``, from the cache where it holds one and else from ``fresh``."""
+    known = cache.where(F.col("model") == model).groupBy("key").agg(F.first("vector").alias("vector"))
+    new = fresh.join(known, "key", "left_anti").select("key", "vector")
+    keyed = texts.withColumn("__key", F.md5(F.col("text").cast("binary")))
+    return keyed.join(known.unionByName(new).withColumnRenamed("key", "__key"), "__key").drop("__key")

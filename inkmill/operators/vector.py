@@ -21,10 +21,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, skip_self: bool = True) -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest vectors (id, vector) of each query (query_id,
-    vector), itself left out by id.  Queries are shared with the tasks ``block`` at a time."""
+    vector), with ``skip_self`` but for the one of its own id.  Queries are shared with the tasks
+    ``block`` at a time."""
     spark = vectors.sparkSession
+    query_kind, kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     n = queries.count()
     parts = max(1, -(-n // block))
     found = None
@@ -39,16 +41,17 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             for pdf in batches:
                 own, x = pdf["id"].to_numpy(), _unit(np.array(pdf["vector"].tolist(), dtype=np.float64))
                 score = q @ x.T
-                score[ids[:, None] == own[None, :]] = -np.inf
+                if skip_self:
+                    score[ids[:, None] == own[None, :]] = -np.inf
                 # of each query the rows that reach its k-th score: ties at the border all go on
                 edge = score if score.shape[1] <= k else np.partition(score, -k, axis=1)[:, -k:]
                 at, row = np.nonzero((score >= edge.min(axis=1)[:, None]) & np.isfinite(score))
                 yield pd.DataFrame({"query_id": ids[at], "id": own[row], "similarity": score[at, row]})
 
-        hits = vectors.select("id", "vector").mapInPandas(search, "query_id long, id long, similarity double")
+        hits = vectors.select("id", "vector").mapInPandas(search, f"query_id {query_kind}, id {kind}, similarity double")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, similarity double")
+        return spark.createDataFrame([], f"query_id {query_kind}, rank int, id {kind}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
@@ -60,7 +63,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def similar_pairs(items: DataFrame, threshold: float, block: int = 2048, count: int | None = None) -> DataFrame:
     """(id1, id2, book1, book2, similarity) of items (id, book, vector) of different books, book1 < book2,
-    with cosine >= threshold.  ``count``: how many items there are, about, if that is known."""
+    with cosine >= threshold; where books have an order of their own, ``book`` is the place in it.  ``count``: how many items there are, about, if that is known."""
     n = items.count() if count is None else count
     blocks = max(1, -(-n // block))
     dealt = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -82,5 +85,5 @@ def similar_pairs(items: DataFrame, threshold: float, block: int = 2048, count:
         swap = bx[i] > by[j]
         return pd.DataFrame({"id1": np.where(swap, iy[j], ix[i]), "id2": np.where(swap, ix[i], iy[j]), "book1": np.where(swap, by[j], bx[i]), "book2": np.where(swap, bx[i], by[j]), "similarity": s[i, j]})
 
-    book = dict(items.dtypes)["book"]
-    return both.groupBy("lo", "hi").applyInPandas(join, f"id1 long, id2 long, book1 {book}, book2 {book}, similarity double")
+    kind, book = (dict(items.dtypes)[c] for c in ("id", "book"))
+    return both.groupBy("lo", "hi").applyInPandas(join, f"id1 {kind}, id2 {kind}, book1 {book}, book2 {book}, similarity double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,12 @@ from inkmill.operators.dialogue import TOPICS, topic_of
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="inkmill-")
+    """The folder that all machines share.  Only a session without executors of its own may leave it
+    unset: there a temporary folder serves; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return path or tempfile.mkdtemp(prefix="inkmill-")
 
 
 def conversation_state(messages: DataFrame, topics=TOPICS) -> DataFrame:
