@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode strings know it (fixed values).
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
+#: The same but for the line feed, as a class to be used within a line.
+BLANK = r"[\x09\x0B-\x0D\x1C-\x20\x85\p{Z}]"
+#: The same as characters of an SQL literal.
+SPACES = "".join(rf"\u{c:04X}" for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Chapter headings (fixed values; digits and spaces of any script, any case).
 CHAPTER = rf"(?iu)第[一二三四五六七八九十百千\p{{Nd}}]+[章篇]|chapter{SPACE}+\p{{Nd}}+"
 
@@ -22,8 +26,8 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def strip_sql(x: str) -> str:
-    """Both ends without white space; runs inside are looked at once, from their start only."""
-    return f"regexp_replace({x}, {sql(f'^{SPACE}+|(?<!{SPACE}){SPACE}+$')}, '')"
+    """Both ends without white space; only the ends are looked at."""
+    return f"btrim({x}, '{SPACES}')"
 
 
 def strip(c: str) -> Column:

@@ -142,7 +142,7 @@ def index_status(spark, d):
     return read(spark, d, "documents").agg(F.count("*").alias("total_chunks"), F.countDistinct(F.coalesce("source", F.lit(""))).alias("indexed_textbooks"), (F.count("*") > 0).alias("is_indexed"))
 
 
-@query("SELECT source || '_' || doc_id || '_chunk_0' AS chunk_id, lang AS chapter_title, text AS content FROM documents WHERE length(text) <= 1000000")
+@query(f"SELECT d.source || '_' || k.doc_id || '_chunk_' || k.chunk_index AS chunk_id, d.lang AS chapter_title, k.content FROM ({_chunks_sql(1_000_000, 0)}) k JOIN documents d USING (doc_id)")
 def chunk_ids(spark, d):
     out = parse.chunk_table(chapters_of_documents(spark, d), 1_000_000, 0, ENDERS)
     return out.select("chunk_id", "chapter_title", "content")
