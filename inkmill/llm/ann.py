@@ -17,8 +17,11 @@ Vectors are indexed in blocks, one task each; queries are shared with the tasks
 every block contributes its own nearest and a merge takes the k best of all.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; those of another
-length than the first's take none either.  Ties go to the smaller id; repeated ids are told apart only
-as "another row"; an empty table gives an empty result.
+length than the commonest (of equally common ones the shortest) take none either.  Ties go to the
+smaller id.  A query passes over its own row only: other rows of its id, be their vectors equal or not,
+are candidates, and each of several query rows of one id has k results of its own.  Rows without
+vec_id take no part; columns but vec_id, embedding and those the condition reads are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,13 +121,13 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, bits: int = 256, samp
     """(query_id, rank, vec_id, score): the k nearest rows of each row for which the SQL condition holds."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    first = usable(vectors).orderBy("vec_id").select(F.size("embedding").alias("n")).first()
+    first = usable(vectors).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if first is None:
         return spark.createDataFrame([], empty)
     v = usable(vectors, first["n"])
     drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     rotation = learn_rotations(np.array(drawn["embedding"].tolist(), dtype=np.float64), bits)
-    total = v.count()
+    total = first["count"]
     n_queries = v.where(is_query).count()
     blocks = max(1, -(-total // block_rows))
     parts = max(1, -(-n_queries // query_block))
@@ -136,7 +140,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, bits: int = 256, samp
         matrix = np.array(mine["embedding"].tolist(), dtype=np.float64)
         shared = spark.sparkContext.broadcast(Shared(rotation, mine["vec_id"].to_numpy(), matrix))
 
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        def search(pdf: pd.DataFrame, *, shared: Broadcast = shared, number: int = part) -> pd.DataFrame:
             s = shared.value
             ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype=np.float64)
             unit = np.linalg.norm(x, axis=1)
@@ -145,15 +149,17 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, bits: int = 256, samp
             out = []
             for i, (query, code) in enumerate(zip(s.ids.tolist(), codes)):
                 rows = index.search(code, enough + 1, step)
-                rows = rows[ids[rows] != query]
+                same = np.flatnonzero(ids[rows] == query)
+                own = same[(x[rows[same]] == s.vectors[i]).all(axis=1)][:1]  # equal rows are in one block
+                rows = np.delete(rows, own)
                 score = (x[rows] @ s.vectors[i]) / (unit[rows] * norms[i])
                 best = np.lexsort((ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows[best]], "score": score[best]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"part": number, "row": i, "query_id": query, "vec_id": ids[rows[best]], "score": score[best]}))
+            return pd.concat(out) if out else pd.DataFrame({"part": [], "row": [], "query_id": [], "vec_id": [], "score": []})
 
-        hits = dealt.groupBy("block").applyInPandas(search, "query_id long, vec_id long, score double")
+        hits = dealt.groupBy("block").applyInPandas(search, "part int, row int, query_id long, vec_id long, score double")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], empty)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("part", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -68,3 +68,16 @@ def test_odd_vectors_and_ties(spark):
     few = rows(ann.nearest(spark.createDataFrame(good[:3], VECTORS), "vec_id % 50 = 0"))
     assert len(few) == 2 and ann.nearest(spark.createDataFrame([], VECTORS), "true").count() == 0
     assert ann.nearest(spark.createDataFrame(bad, VECTORS), "true").count() == 0
+
+
+def test_repeated_ids_lengths_and_clashing_columns(spark):
+    """A query passes over its own row alone, each query row has its own ranks, the commonest length counts."""
+    table = [(0, [1.0, 0.0], 0), (50, [1.0, 0.0, 0.0], 0), (50, [1.0, 0.0, 0.0], 0), (50, [0.0, 1.0, 0.0], 0), (7, [1.0, 0.1, 0.0], 0), (7, [1.0, 0.1, 0.0], 0), (None, [1.0, 0.0, 0.0], 0)]
+    clash = spark.createDataFrame(table, VECTORS).selectExpr("*", "'x' score", "'x' rank", "'x' query_id", "'x' block", "'x' part")
+    found = rows(ann.nearest(clash, "vec_id % 50 = 0", k=4))
+    got = sorted(tuple((r["rank"], r["vec_id"], round(r["score"], 6)) for r in found[i : i + 1]) for i in range(len(found)))
+    near = round(1 / np.sqrt(1.01), 6)
+    side = round(0.1 / np.sqrt(1.01), 6)
+    twice = [((1, 50, 1.0),), ((2, 7, near),), ((3, 7, near),), ((4, 50, 0.0),)]
+    once = [((1, 7, side),), ((2, 7, side),), ((3, 50, 0.0),), ((4, 50, 0.0),)]
+    assert {r["query_id"] for r in found} == {50} and got == sorted(twice * 2 + once)
