@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, jaccard_join, language_id, packing, pii, substring_dedup, toxicity
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, jaccard_join, language_id, lexical_search, packing, pii, substring_dedup, toxicity
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_multi_index": op8_multi_index,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -100,3 +105,15 @@ h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 1
 gone AS (SELECT doc_id, list(DISTINCT k) AS k FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM h WHERE least < doc_id) GROUP BY doc_id),
 kept AS (SELECT w.doc_id, len(w) AS n, list_filter(w, lambda x, i: k IS NULL OR NOT list_contains(k, i)) AS kept FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n::bigint AS n_words, (n - len(kept))::bigint AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
+
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op12_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+g AS (SELECT count(*) AS n_docs, sum(n)::bigint AS n_terms FROM d),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM p, g GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint AS score
+    FROM q JOIN w USING (t) JOIN p USING (t), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM r WHERE rank <= 20"""
