@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, jaccard_join, language_id, lexical_search, packing, pii, substring_dedup, toxicity
+from inkmill.llm import ann, byte_bpe, fingerprints, html_extract, jaccard_join, language_id, lexical_search, packing, pii, secret_scan, substring_dedup, toxicity, vector_codes
 from inkmill.llm.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.findings(docs)))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -83,7 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_multi_index": op8_multi_index,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_packing": op10_packing,
+    "op11_secret_scan": op11_secret_scan,
     "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -117,3 +128,25 @@ s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf +
     FROM q JOIN w USING (t) JOIN p USING (t), g GROUP BY item_id, doc_id),
 r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank::int AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """A table of entries and one of assignments for each round."""
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS y FROM v, (SELECT unnest(range(8)) AS part))",
+        "c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))",
+    ]
+    for r in range(rounds + 1):
+        square = "list_sum(list_transform(range(1, len(p.y) + 1), lambda i: (p.y[i] - c.y[i]) * (p.y[i] - c.y[i])))::bigint"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(y) AS y, min(d * 16 + entry) % 16 AS entry, min(d * 16 + entry) // 16 AS d FROM (SELECT p.vec_id, p.part, p.y, c.entry, {square} AS d FROM p JOIN c{r} c USING (part)) GROUP BY vec_id, part)")
+        if r < rounds:
+            sums = f"SELECT part, entry, i, sum(x)::bigint AS s, count(*) AS n FROM (SELECT part, entry, unnest(y) AS x, unnest(range(len(y))) AS i FROM a{r}) GROUP BY part, entry, i"
+            steps.append(f"m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM ({sums}) GROUP BY part, entry)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{r} c LEFT JOIN m{r} m USING (part, entry))")
+    steps.append(f"e AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{rounds} GROUP BY vec_id)")
+    books = f"(SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM c{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, {books} AS codebooks_sha256 FROM e JOIN v USING (vec_id)"
+
+
+ORACLE_SQL["op13_vector_codes"] = _lloyd_sql()
