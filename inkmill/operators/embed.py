@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.functions import vectors as V
 from inkmill.functions.text import let
 
 
@@ -14,55 +15,107 @@ def words_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)"
 
 
-def terms_sql(text: str) -> str:
-    """All unigrams, then all bigrams of a text."""
-    pairs = "if(size(u) < 2, cast(array() as array<string>), zip_with(slice(u, 1, size(u) - 1), slice(u, 2, size(u) - 1), (a, b) -> concat(a, ' ', b)))"
-    return let("u", words_sql(text), f"concat(u, {pairs})")
+def _among(x: str, terms: list[str]) -> str:
+    """SQL: whether x is one of the terms (of letters, digits, _ and blanks; one look-up in a hash set)."""
+    return f"{x} in ({', '.join(map(repr, terms))})" if terms else "false"
 
 
-def tfidf_fit(texts: DataFrame, features: int = 384, share_words: int = 100_000) -> DataFrame:
+def _pairs_sql(u: str, first: list[str], second: list[str]) -> str:
+    """Pairs of neighbouring words in ``u`` of which both words are among those given."""
+    both = f"zip_with(slice({u}, 1, greatest(size({u}) - 1, 0)), slice({u}, 2, greatest(size({u}) - 1, 0)), (a, b) -> if({_among('a', first)} and {_among('b', second)}, concat(a, ' ', b), null))"
+    return f"filter({both}, p -> p is not null)"
+
+
+def terms_sql(text: str, vocabulary: list[str]) -> str:
+    """All occurrences in a text of the vocabulary's words and pairs of words, none of another term."""
+    words, pairs = [t for t in vocabulary if " " not in t], [t for t in vocabulary if " " in t]
+    found = f"filter(u, w -> {_among('w', words)})"
+    if pairs:
+        ends = [sorted({p.split(" ")[i] for p in pairs}) for i in (0, 1)]
+        found = f"concat({found}, filter({_pairs_sql('u', *ends)}, p -> {_among('p', pairs)}))"
+    return let("u", words_sql(text), found)
+
+
+def _most(counts: DataFrame, k: int) -> list[tuple[str, int]]:
+    return [tuple(r) for r in counts.orderBy(F.desc("tf"), "term").limit(k).collect()]
+
+
+def _spread(texts: DataFrame) -> DataFrame:
+    """Texts on all cores: an input of fewer partitions than there are cores is dealt out anew; larger inputs stay as they are."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(2 * cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
+def tfidf_fit(texts: DataFrame, features: int = 384, share_words: int = 4096) -> DataFrame:
     """The vocabulary (term, tf, df, idf): the ``features`` most frequent terms, ties by term.
 
     A pair of words is no more frequent than either word, so only pairs of words that reach the count of
-    the ``features``-th word are counted; those words are shared with the tasks while they are at most
-    ``share_words`` (there may be many of one low count), and otherwise joined.  All counts are summed
-    before the shuffle; documents are counted for the terms chosen only."""
-    n = texts.count()
+    the ``features``-th word are counted: within the text by look-up while these words are at most ``share_words``
+    (there may be many of one low count), and otherwise by joins.  All counts are summed
+    before the shuffle; documents are counted for the terms chosen only.  The result has at most ``features`` rows."""
+    spark, n = texts.sparkSession, texts.count()
+    texts = _spread(texts.select("text"))
     words = texts.select(F.explode(F.expr(words_sql("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    words = words.persist()
-    top = words.orderBy(F.desc("tf"), "term").limit(features).agg(F.min("tf").alias("least"), F.count("*").alias("k")).first()
-    often = words.where(F.col("tf") >= (top["least"] if top["k"] == features else 1)).select("term")
-    if often.count() <= share_words:
-        often = F.broadcast(often)
-    pairs = texts.select(F.expr(let("u", words_sql("text"), "arrays_zip(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)))")).alias("p"))
-    pairs = pairs.select(F.inline("p").alias("a", "b"))
-    for end in ("a", "b"):
-        pairs = pairs.join(often.withColumnRenamed("term", end), end, "left_semi")
-    counts = words.unionByName(pairs.groupBy("a", "b").agg(F.count("*").alias("tf")).select(F.concat("a", F.lit(" "), "b").alias("term"), "tf"))
-    rows = counts.orderBy(F.desc("tf"), "term").limit(features).collect()  # as many as there are features
-    words.unpersist()
-    top = F.broadcast(texts.sparkSession.createDataFrame(rows, "term string, tf long"))
-    each = texts.select(F.explode(F.expr(f"array_distinct({terms_sql('text')})")).alias("term"))
-    df = each.join(top.select("term"), "term").groupBy("term").agg(F.count("*").alias("df"))
-    return top.join(df, "term").withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+    first = _most(words, max(features, share_words) + 1)
+    top = first[:features]
+    least = top[-1][1] if len(top) == features else 1
+    often = [t for t, tf in first if tf >= least]
+    if len(often) < len(first) or len(first) <= max(features, share_words):
+        found = f"concat(filter(u, w -> {_among('w', often)}), {_pairs_sql('u', often, often)})"
+        each = texts.select(F.inline(F.expr(_counted(let("u", words_sql("text"), found)))).alias("term", "n"))
+    else:
+        known = words.where(F.col("tf") >= least).select("term")
+        pairs = texts.withColumn("row", F.monotonically_increasing_id()).select("row", F.inline(F.expr(let("u", words_sql("text"), "arrays_zip(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)))"))).alias("a", "b"))
+        for end in ("a", "b"):
+            pairs = pairs.join(known.withColumnRenamed("term", end), end, "left_semi")
+        each = pairs.groupBy("row", F.concat("a", F.lit(" "), "b").alias("term")).agg(F.count("*").alias("n")).drop("row")
+        each = each.unionByName(texts.select(F.inline(F.expr(_counted(f"filter({words_sql('text')}, w -> {_among('w', [t for t, _ in top])})"))).alias("term", "n")))
+    counts = each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    rows = counts.orderBy(F.desc("tf"), "term").limit(features).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+    return spark.createDataFrame(rows.collect(), "term string, tf long, df long, idf double")
+
+
+def _counted(terms: str) -> str:
+    """SQL: (term, n) of the distinct items of an array of terms, ordered, and how often each occurs."""
+    begins = "filter(transform(f, (x, i) -> if(i = 0 or x <> f[i - 1], i, null)), i -> i is not null)"
+    each = "zip_with(b, concat(slice(b, 2, greatest(size(b) - 1, 0)), array(size(f))), (i, e) -> struct(f[i] as term, e - i as n))"
+    return let("f", f"array_sort({terms})", let("b", begins, f"if(size(b) = 0, cast(array() as array<struct<term: string, n: int>>), {each})"))
+
+
+def tfidf_sparse(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``texts`` with ``at`` and ``weight`` in place of ``text``: places in the vocabulary (ordered by term)
+    that the text has, ascending, and their weights, of unit length.  The vocabulary is bounded by its feature
+    count; each text is weighed within its row, so nothing is shuffled."""
+    known = sorted((r["term"], r["idf"]) for r in vocabulary.select("term", "idf").collect())
+    terms = [t for t, _ in known]
+    others = [c for c in texts.columns if c != "text"]
+    if not terms:
+        return texts.select(*others, F.expr("cast(array() as array<int>)").alias("at"), F.expr("cast(array() as array<double>)").alias("weight"))
+    listed = f"array({', '.join(map(repr, terms))})"
+    idf = f"array({', '.join(repr(float(x)) + 'D' for _, x in known)})"
+    texts = _spread(texts)
+    # terms in order of the alphabet are in order of their places
+    found = F.expr(_counted(terms_sql("coalesce(text, '')", terms))).alias("__f")
+    rows = texts.select(*others, found).select(*others, "__f", F.expr(f"transform(__f.term, t -> int(array_position({listed}, t)) - 1)").alias("at"))
+    raw = F.expr(f"zip_with(at, __f.n, (a, n) -> (1 + ln(n)) * {idf}[a])").alias("__w")
+    return rows.select(*others, "at", raw).select(*others, "at", V.normalise("__w").alias("weight"))
 
 
 def tfidf_transform(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, term, weight) with unit length by id, of texts (id, text); the vocabulary (bounded by its
-    feature count) goes to every task, so only its terms, counted by text, are shuffled."""
-    found = texts.select("id", F.explode(F.expr(terms_sql("text"))).alias("term")).join(F.broadcast(vocabulary.select("term", "idf")), "term")
-    weights = found.groupBy("id", "term", "idf").count().select("id", "term", ((1 + F.log("count")) * F.col("idf")).alias("w"))
-    # a text has at most as many rows here as the vocabulary
-    by_id = weights.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return by_id.select("id", "norm", F.inline("t")).select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(id, term, weight) with unit length by id, of texts (id, text)."""
+    terms = sorted(r["term"] for r in vocabulary.select("term").collect())
+    if not terms:
+        return texts.select("id", F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    rows = tfidf_sparse(texts.select("id", "text"), vocabulary).select("id", F.inline(F.arrays_zip("at", "weight")))
+    return rows.select("id", F.expr(f"array({', '.join(map(repr, terms))})[at]").alias("term"), "weight")
 
 
-def dense(weights: DataFrame, vocabulary: DataFrame, features: int = 384) -> DataFrame:
-    """(id, vector): weights by position in the vocabulary (ordered by term), zero-padded."""
-    order = F.broadcast(vocabulary.select("term").agg(F.array_sort(F.collect_list("term")).alias("terms")))
-    placed = weights.join(order).select("id", (F.array_position("terms", F.col("term")) - 1).cast("int").alias("i"), "weight")
-    sparse = placed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    return sparse.select("id", F.expr(f"transform(sequence(0, {features - 1}), i -> coalesce(m[i], 0D))").alias("vector"))
+def dense(sparse: DataFrame, features: int = 384) -> DataFrame:
+    """``sparse`` (at, weight, ...) with ``vector`` in place of both: weights by place, zero-padded."""
+    n = "size(at)"
+    gap = f"if(i = {n}, {features}, at[i]) - if(i = 0, 0, at[i - 1] + 1)"
+    whole = f"flatten(transform(sequence(0, {n}), i -> if(i = {n}, array_repeat(0D, {gap}), array_append(array_repeat(0D, {gap}), weight[i]))))"
+    return sparse.withColumn("vector", F.expr(whole)).drop("at", "weight")
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame, model: str = "tfidf") -> DataFrame:
@@ -78,9 +131,7 @@ def tfidf_encoder(vocabulary: DataFrame, features: int = 384) -> Encoder:
     """An encoder of texts (id, text) as (id, vector): unit TF-IDF vectors, of zeros where no term is known."""
 
     def encode(texts: DataFrame) -> DataFrame:
-        found = dense(tfidf_transform(texts, vocabulary), vocabulary, features)
-        zero = F.expr(f"array_repeat(0D, {features})")
-        return texts.select("id").join(found, "id", "left").withColumn("vector", F.coalesce("vector", zero))
+        return dense(tfidf_sparse(texts.select("id", "text"), vocabulary), features)
 
     return encode
 

@@ -1,16 +1,20 @@
-"""Exact vector search and exact similarity joins, block by block.
+"""Exact vector search and exact similarity joins.
 
-Both are dense matrix products.  Vectors are dealt into blocks of bounded size; a task multiplies two
-blocks with numpy and returns only what is asked for (the k best, or pairs over the threshold).
+Search and the join of dense vectors are matrix products: vectors are dealt into blocks of bounded size; a task
+multiplies two blocks with numpy and returns only what is asked for (the k best, or pairs over the threshold).
+Sparse vectors are joined through inverted lists of the part of each vector that a partner must touch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmill.functions import vectors as V
 from inkmill.functions.vectors import cosine
 
 
@@ -61,29 +65,133 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def similar_pairs(items: DataFrame, threshold: float, block: int = 2048, count: int | None = None) -> DataFrame:
-    """(id1, id2, book1, book2, similarity) of items (id, book, vector) of different books, book1 < book2,
-    with cosine >= threshold; where books have an order of their own, ``book`` is the place in it.  ``count``: how many items there are, about, if that is known."""
-    n = items.count() if count is None else count
+#: A dense join is used for vectors that are not zero in more than this share of their places.
+DENSE = 0.25
+
+
+def similar_pairs(items: DataFrame, threshold: float, block: int = 2048, counts: dict[int, int] | None = None) -> DataFrame:
+    """(id1, id2, book1, book2, similarity) of items of different books, book1 < book2, with cosine >= threshold
+    (which is positive); where books have an order of their own, ``book`` is the place in it.
+
+    Items are (id, book, vector) or, sparse and of unit length, (id, book, at, weight) with ``at`` ascending.  Vectors
+    that are mostly zeros go through inverted lists, others block by block.  ``counts``: in how many sparse items
+    each place is, or about; they order the places and decide nothing."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
+    if "vector" not in items.columns:
+        return _by_lists(items, threshold, block, counts)
+    filled = F.size(F.expr("filter(vector, x -> x <> 0)"))
+    size = items.agg(F.count("*").alias("n"), F.sum(filled).alias("filled"), F.sum(F.size("vector")).alias("places")).first()
+    if not size["n"]:
+        return items.select(*_pair_columns(items)).limit(0)
+    if (size["filled"] or 0) > DENSE * (size["places"] or 0):
+        return _by_blocks(items, threshold, block, size["n"])
+    unit = items.select("id", "book", V.normalise("vector").alias("vector"))
+    sparse = unit.select("id", "book", F.expr("filter(transform(vector, (x, i) -> if(x <> 0, i, null)), i -> i is not null)").alias("at"), F.expr("filter(vector, x -> x <> 0)").alias("weight"))
+    return _by_lists(sparse, threshold, block, counts)
+
+
+def _pair_columns(items: DataFrame) -> list:
+    return [F.col(c).alias(f"{c}{i}") for c in ("id", "book") for i in (1, 2)] + [F.lit(0.0).alias("similarity")]
+
+
+def _pairs_ddl(items: DataFrame) -> str:
+    kind, book = (dict(items.dtypes)[c] for c in ("id", "book"))
+    return f"id1 {kind}, id2 {kind}, book1 {book}, book2 {book}, similarity double"
+
+
+def _found(a: pa.Table, b: pa.Table, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """The pairs at s[i, j] of rows of a and b, those of different books, lesser book first; of one table
+    (a is b) each pair once."""
+    books = pa.concat_arrays([*a["book"].chunks, *b["book"].chunks])
+    place = pc.rank(books, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+    x, y = place[: len(a)][i], place[len(a) :][j]
+    keep = (x < y if a is b else x != y) & books.is_valid().to_numpy(zero_copy_only=False)[i] & books.is_valid().to_numpy(zero_copy_only=False)[len(a) + j]
+    i, j, swap = i[keep], j[keep], (x > y)[keep]
+    first, second = np.where(swap, len(a) + j, i), np.where(swap, i, len(a) + j)
+    ids = pa.concat_arrays([*a["id"].chunks, *b["id"].chunks])
+    columns = [ids.take(pa.array(first)), ids.take(pa.array(second)), books.take(pa.array(first)), books.take(pa.array(second)), pa.array(s[i, j], pa.float64())]
+    return pa.Table.from_arrays(columns, names=["id1", "id2", "book1", "book2", "similarity"])
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in one array, and how many each row has."""
+    flat, sizes = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks], [pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate(flat) if flat else np.zeros(0), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+
+
+def _block_pairs(block: str, blocks: str) -> str:
+    """SQL: (lo, hi, side) of all pairs of blocks that one block is in: as lo (side 0, with itself too) or as hi (side 1)."""
+    return f"concat(transform(sequence({block}, {blocks} - 1), h -> struct({block} as lo, h as hi, 0 as side)), if({block} > 0, transform(sequence(0, {block} - 1), l -> struct(l as lo, {block} as hi, 1 as side)), cast(array() as array<struct<lo: int, hi: int, side: int>>)))"
+
+
+def _by_blocks(items: DataFrame, threshold: float, block: int, n: int) -> DataFrame:
     blocks = max(1, -(-n // block))
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = dealt.select("id", "book", "vector", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("hi"), F.col("b").alias("lo"), F.lit(0).alias("side"))
-    right = dealt.select("id", "book", "vector", F.col("b").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("lo"), F.lit(1).alias("side"))
-    both = left.unionByName(right).where("not (lo = hi and side = 1)")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["side"] == 0]
-        b = a if (pdf["lo"] == pdf["hi"]).all() else pdf[pdf["side"] == 1]
-        out = pd.DataFrame({"id1": [], "id2": [], "book1": [], "book2": [], "similarity": []})
-        if not len(a) or not len(b):
-            return out
-        x, y = _unit(np.array(a["vector"].tolist(), dtype=np.float64)), _unit(np.array(b["vector"].tolist(), dtype=np.float64))
-        bx, by, ix, iy = a["book"].to_numpy(), b["book"].to_numpy(), a["id"].to_numpy(), b["id"].to_numpy()
-        s = x @ y.T
+    dealt = items.select("id", "book", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    both = dealt.select("id", "book", "vector", F.inline(F.expr(_block_pairs("b", str(blocks)))))
+
+    def join(rows: pa.Table) -> pa.Table:
+        a = rows.filter(pc.equal(rows["side"], 0))
+        b = a if rows["lo"][0] == rows["hi"][0] else rows.filter(pc.equal(rows["side"], 1))
+        x, y = (_unit(_matrix(t["vector"])[0].reshape(len(t), -1)) if len(t) else np.zeros((0, 0)) for t in (a, b))
+        s = x @ y.T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        return _found(a, b, s, *np.nonzero(s >= threshold))
+
+    return both.groupBy("lo", "hi").applyInArrow(join, _pairs_ddl(items))
+
+
+def _by_lists(items: DataFrame, threshold: float, block: int, counts: dict[int, int] | None) -> DataFrame:
+    """The join of sparse unit vectors (id, book, at, weight).
+
+    Places are ordered by how many items have them, most first.  The leading places of a vector, as long as
+    their norm is below the threshold, are not indexed.  If two vectors share no place that is indexed in both,
+    all they share is among the leading places of one, so their cosine is below the threshold.  Each indexed
+    place has a list; lists of more than ``block`` items are cut, and only these are paired block by block.
+    A task multiplies the whole vectors of a list; a pair that is indexed together at several places is
+    found at the rarest of these only."""
+    if counts is None:
+        counts = {r["p"]: r["n"] for r in items.select(F.explode("at").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return items.select(*_pair_columns(items)).limit(0)
+    order = sorted(counts, key=lambda p: (-counts[p], p))
+    place = [0] * (max(counts) + 1)
+    for rank, p in enumerate(order):
+        place[p] = rank
+    cuts = [max(1, -(-counts[p] // block)) for p in order]
+    ranked = F.expr(f"array_sort(zip_with(at, weight, (a, x) -> struct(array({', '.join(map(str, place))})[a] as p, x as x)))").alias("e")
+    least = threshold * threshold - 1e-9
+    led = f"aggregate(e, struct(0D as s, 0 as k), (y, v) -> struct(y.s + v.x * v.x as s, if(y.s + v.x * v.x < {least!r}D, y.k + 1, y.k) as k)).k"
+    rows = items.select("id", "book", ranked).withColumn("led", F.expr(led))
+    rows = rows.select("id", "book", F.expr("e.p").alias("p"), F.expr("e.x").alias("x"), "led", F.explode(F.expr("slice(e.p, led + 1, size(e) - led)")).alias("list"))
+    rows = rows.withColumn("cuts", F.expr(f"array({', '.join(map(str, cuts))})[list]")).withColumn("b", F.expr("int(pmod(xxhash64(id), cuts))"))
+    both = rows.select("id", "book", "p", "x", "led", "list", F.inline(F.expr(_block_pairs("b", "cuts"))))
+
+    def join(rows: pa.Table) -> pa.Table:
+        one = rows["lo"][0] == rows["hi"][0]
+        rows = rows.sort_by("side")
+        cut = len(rows) if one else int(pc.sum(pc.equal(rows["side"], 0)).as_py())
+        n = len(rows)
+        (p, sizes), x = _matrix(rows["p"]), _matrix(rows["x"])[0]
+        row = np.repeat(np.arange(n), sizes)
+        own = np.arange(len(p)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= np.repeat(rows["led"].to_numpy(), sizes)  # indexed
+        kinds, column, often = np.unique(p, return_inverse=True, return_counts=True)
+        a, b = slice(0, cut), slice(0, cut) if one else slice(cut, n)
+        s = np.zeros((cut, cut if one else n - cut))
+        later = []  # bits: places further on in the order that are indexed
+        for begin in range(0, len(kinds), 1024):
+            some = (column >= begin) & (column < begin + 1024) & (often[column] > 1)
+            part = np.zeros((n, min(1024, len(kinds) - begin)))
+            part[row[some], column[some] - begin] = x[some]
+            s += part[a] @ part[b].T
+            some &= own & (p > rows["list"][0].as_py())
+            seen = np.zeros(part.shape, dtype=bool)
+            seen[row[some], column[some] - begin] = True
+            later.append(np.packbits(seen, axis=1))
         i, j = np.nonzero(s >= threshold)
-        i, j = (v[bx[i] < by[j]] for v in (i, j)) if b is a else (v[bx[i] != by[j]] for v in (i, j))
-        swap = bx[i] > by[j]
-        return pd.DataFrame({"id1": np.where(swap, iy[j], ix[i]), "id2": np.where(swap, ix[i], iy[j]), "book1": np.where(swap, by[j], bx[i]), "book2": np.where(swap, bx[i], by[j]), "similarity": s[i, j]})
+        bits = np.concatenate(later, axis=1)
+        alone = np.concatenate([~(bits[a][i[c : c + 65536]] & bits[b][j[c : c + 65536]]).any(axis=1) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+        left = rows.slice(0, cut)
+        right = left if one else rows.slice(cut)
+        return _found(left, right, s, i[alone], j[alone])
 
-    kind, book = (dict(items.dtypes)[c] for c in ("id", "book"))
-    return both.groupBy("lo", "hi").applyInPandas(join, f"id1 {kind}, id2 {kind}, book1 {book}, book2 {book}, similarity double")
+    return both.groupBy("list", "lo", "hi").applyInArrow(join, _pairs_ddl(items))

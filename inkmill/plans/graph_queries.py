@@ -118,16 +118,10 @@ def tfidf_fit(spark, d):
     return embed.tfidf_fit(_texts(spark, d)).select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
-def _weights(spark, d):
-    texts = _texts(spark, d)
-    fitted = embed.tfidf_fit(texts)
-    vocabulary = spark.createDataFrame(fitted.collect(), fitted.schema)  # 384 rows, read twice or more
-    return texts, vocabulary, embed.tfidf_transform(texts, vocabulary)
-
-
 @query(f"WITH {_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_transform(spark, d):
-    return _weights(spark, d)[2].select("id", "term", F.round("weight", 6).alias("weight"))
+    texts = _texts(spark, d)
+    return embed.tfidf_transform(texts, embed.tfidf_fit(texts)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 _PAIRS = f"""WITH {_TFIDF},
@@ -139,9 +133,10 @@ pairs AS (SELECT a.id AS id1, b.id AS id2, x.book AS book1, y.book AS book2, sum
 
 def _pairs(spark, d):
     """Documents of different sources whose TF-IDF cosine is at least 0.7."""
-    texts, vocabulary, weights = _weights(spark, d)
-    items = embed.dense(weights, vocabulary).join(texts.select("id", "book"), "id")
-    return vector.similar_pairs(items, 0.7, count=texts.count())
+    texts = _texts(spark, d)
+    vocabulary = embed.tfidf_fit(texts)
+    counts = {i: r["df"] for i, r in enumerate(vocabulary.orderBy("term").select("df").collect())}
+    return vector.similar_pairs(embed.tfidf_sparse(texts, vocabulary), 0.7, counts=counts)
 
 
 @query(f"{_PAIRS} SELECT id1, id2, book1, book2, round(similarity, 6) AS similarity FROM pairs")
