@@ -40,7 +40,7 @@ def _most(counts: DataFrame, k: int) -> list[tuple[str, int]]:
     return [tuple(r) for r in counts.orderBy(F.desc("tf"), "term").limit(k).collect()]
 
 
-def _spread(texts: DataFrame) -> DataFrame:
+def spread(texts: DataFrame) -> DataFrame:
     """Texts on all cores: an input of fewer partitions than there are cores is dealt out anew; larger inputs stay as they are."""
     cores = texts.sparkSession.sparkContext.defaultParallelism
     return texts.repartition(2 * cores) if texts.rdd.getNumPartitions() < cores else texts
@@ -54,7 +54,7 @@ def tfidf_fit(texts: DataFrame, features: int = 384, share_words: int = 4096) ->
     (there may be many of one low count), and otherwise by joins.  All counts are summed
     before the shuffle; documents are counted for the terms chosen only.  The result has at most ``features`` rows."""
     spark, n = texts.sparkSession, texts.count()
-    texts = _spread(texts.select("text"))
+    texts = spread(texts.select("text"))
     words = texts.select(F.explode(F.expr(words_sql("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
     first = _most(words, max(features, share_words) + 1)
     top = first[:features]
@@ -62,20 +62,20 @@ def tfidf_fit(texts: DataFrame, features: int = 384, share_words: int = 4096) ->
     often = [t for t, tf in first if tf >= least]
     if len(often) < len(first) or len(first) <= max(features, share_words):
         found = f"concat(filter(u, w -> {_among('w', often)}), {_pairs_sql('u', often, often)})"
-        each = texts.select(F.inline(F.expr(_counted(let("u", words_sql("text"), found)))).alias("term", "n"))
+        each = texts.select(F.inline(F.expr(counted_sql(let("u", words_sql("text"), found)))).alias("term", "n"))
     else:
         known = words.where(F.col("tf") >= least).select("term")
         pairs = texts.withColumn("row", F.monotonically_increasing_id()).select("row", F.inline(F.expr(let("u", words_sql("text"), "arrays_zip(slice(u, 1, greatest(size(u) - 1, 0)), slice(u, 2, greatest(size(u) - 1, 0)))"))).alias("a", "b"))
         for end in ("a", "b"):
             pairs = pairs.join(known.withColumnRenamed("term", end), end, "left_semi")
         each = pairs.groupBy("row", F.concat("a", F.lit(" "), "b").alias("term")).agg(F.count("*").alias("n")).drop("row")
-        each = each.unionByName(texts.select(F.inline(F.expr(_counted(f"filter({words_sql('text')}, w -> {_among('w', [t for t, _ in top])})"))).alias("term", "n")))
+        each = each.unionByName(texts.select(F.inline(F.expr(counted_sql(f"filter({words_sql('text')}, w -> {_among('w', [t for t, _ in top])})"))).alias("term", "n")))
     counts = each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     rows = counts.orderBy(F.desc("tf"), "term").limit(features).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     return spark.createDataFrame(rows.collect(), "term string, tf long, df long, idf double")
 
 
-def _counted(terms: str) -> str:
+def counted_sql(terms: str) -> str:
     """SQL: (term, n) of the distinct items of an array of terms, ordered, and how often each occurs."""
     begins = "filter(transform(f, (x, i) -> if(i = 0 or x <> f[i - 1], i, null)), i -> i is not null)"
     each = "zip_with(b, concat(slice(b, 2, greatest(size(b) - 1, 0)), array(size(f))), (i, e) -> struct(f[i] as term, e - i as n))"
@@ -93,9 +93,9 @@ def tfidf_sparse(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return texts.select(*others, F.expr("cast(array() as array<int>)").alias("at"), F.expr("cast(array() as array<double>)").alias("weight"))
     listed = f"array({', '.join(map(repr, terms))})"
     idf = f"array({', '.join(repr(float(x)) + 'D' for _, x in known)})"
-    texts = _spread(texts)
+    texts = spread(texts)
     # terms in order of the alphabet are in order of their places
-    found = F.expr(_counted(terms_sql("coalesce(text, '')", terms))).alias("__f")
+    found = F.expr(counted_sql(terms_sql("coalesce(text, '')", terms))).alias("__f")
     rows = texts.select(*others, found).select(*others, "__f", F.expr(f"transform(__f.term, t -> int(array_position({listed}, t)) - 1)").alias("at"))
     raw = F.expr(f"zip_with(at, __f.n, (a, n) -> (1 + ln(n)) * {idf}[a])").alias("__w")
     return rows.select(*others, "at", raw).select(*others, "at", V.normalise("__w").alias("weight"))

@@ -25,10 +25,10 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, skip_self: bool = True) -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, skip_self: bool = True, places: int | None = None) -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest vectors (id, vector) of each query (query_id,
-    vector), with ``skip_self`` but for the one of its own id.  Queries are shared with the tasks
-    ``block`` at a time."""
+    vector), with ``skip_self`` but for the one of its own id; ties to the smaller id.  Queries are shared with the
+    tasks ``block`` at a time.  With ``places`` similarities are rounded to so many before they are compared."""
     spark = vectors.sparkSession
     query_kind, kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     n = queries.count()
@@ -44,13 +44,14 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             ids, q = shared.value
             for pdf in batches:
                 own, x = pdf["id"].to_numpy(), _unit(np.array(pdf["vector"].tolist(), dtype=np.float64))
-                score = q @ x.T
+                score = q @ x.T if places is None else np.round(q @ x.T, places)
                 if skip_self:
                     score[ids[:, None] == own[None, :]] = -np.inf
-                # of each query the rows that reach its k-th score: ties at the border all go on
+                # of each query the rows that reach its k-th score, of ties at the border the smallest ids
                 edge = score if score.shape[1] <= k else np.partition(score, -k, axis=1)[:, -k:]
                 at, row = np.nonzero((score >= edge.min(axis=1)[:, None]) & np.isfinite(score))
-                yield pd.DataFrame({"query_id": ids[at], "id": own[row], "similarity": score[at, row]})
+                hits = pd.DataFrame({"at": at, "query_id": ids[at], "id": own[row], "similarity": score[at, row]})
+                yield hits.sort_values(["at", "similarity", "id"], ascending=[True, False, True]).groupby("at").head(k).drop(columns="at")
 
         hits = vectors.select("id", "vector").mapInPandas(search, f"query_id {query_kind}, id {kind}, similarity double")
         found = hits if found is None else found.unionByName(hits)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from inkmill.operators.dialogue import TOPICS, topic_of
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share.  Only a session without executors of its own may leave it
-    unset: there a temporary folder serves; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return path or tempfile.mkdtemp(prefix="inkmill-")
+from inkmill.sources.scratch import shared_folder
 
 
 def conversation_state(messages: DataFrame, topics=TOPICS) -> DataFrame:
@@ -32,7 +22,7 @@ def run_available(spark: SparkSession, path: str, topics=TOPICS) -> DataFrame:
     """Read what is at ``path`` as a stream, keep the state, and return its last version.
 
     Each micro-batch writes the changed conversations with its number; the latest row of each counts."""
-    base = f"{shared_dir(spark)}/conversations-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/conversations-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may match a file or a folder; a plain path must be a folder
     state = conversation_state(spark.readStream.schema(schema).parquet(pattern), topics)

@@ -7,7 +7,7 @@ from inkmill import workflows
 from inkmill.functions import hooks
 from inkmill.operators import dialogue, embed, integrate, vector
 from inkmill.sources.store import Store
-from inkmill.streaming.conversations import shared_dir
+from inkmill.sources.scratch import shared_folder
 
 QUESTIONS = "question_id string, question string"
 
@@ -150,4 +150,4 @@ def test_empty_conversations_and_shared_folder(spark):
     messages = spark.createDataFrame([("a", 0, "user", "x")], "conv_id string, turn long, role string, text string")
     asked = spark.createDataFrame([("a",), ("b",), ("b",)], "conv_id string")
     assert {r["conv_id"]: r["summary"] for r in dialogue.summaries(messages, asked=asked).collect()} == {"a": "最近对话：\n用户: x...\n", "b": dialogue.NO_HISTORY}
-    assert shared_dir(spark) and messages.agg(F.count("*")).first()[0] == 1
+    assert shared_folder(spark) and messages.agg(F.count("*")).first()[0] == 1
