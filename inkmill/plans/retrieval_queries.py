@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkmill.operators import embed, retrieval, vector
+from inkmill.operators import embed, index, retrieval, vector
 from inkmill.plans.tables import read
+from inkmill.sources import scratch
 
 QUERIES, ORACLE = {}, {}
 
@@ -117,3 +118,43 @@ def retrieval_quality(spark, d):
         ranked = own if ranked is None else ranked.unionByName(own)
     found = retrieval.evaluate(ranked, _judged(spark, d), 10)
     return found.select("config", "questions", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+# --- an index after three updates: documents are chunks of the books that their sources are
+
+
+def _editions(spark, d):
+    """The chunks as they are before each update: at the second, toxic ones are in capitals and those of low quality
+    gone; at the third, half of these are back, and German ones end otherwise."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("textbook_id"), F.col("doc_id").alias("chunk_id"), "lang", F.col("text").alias("content"))
+    both = docs.join(read(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), "quality", "toxic"), "chunk_id", "left")
+    second = both.withColumn("content", F.expr("if(toxic = 1, upper(content), content)"))
+    third = second.withColumn("content", F.expr("if(lang = 'de', concat(content, '.'), content)"))
+    return docs, second.where("quality is null or quality = 1"), third.where("quality is null or quality = 1 or chunk_id % 2 = 0")
+
+
+def _updated(spark, d):
+    log = spark.createDataFrame([], "textbook_id string, chunk_id long, key string, version long, live boolean")
+    books = read(spark, d, "documents").select(F.col("source").alias("textbook_id"))
+    for version, chunks in enumerate(_editions(spark, d), 1):
+        log = scratch.settled(log.unionByName(index.changes(log, index.keyed(chunks).select("textbook_id", "chunk_id", "key"), books, version)))
+    return log
+
+
+_EDITIONS = """e AS (SELECT source AS textbook_id, doc_id AS chunk_id, text AS c1, CASE WHEN toxic = 1 THEN upper(text) ELSE text END AS c2, CASE WHEN lang = 'de' THEN '.' ELSE '' END AS tail, quality IS NULL OR quality = 1 AS good, doc_id % 2 = 0 AS even
+    FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT textbook_id, chunk_id, md5(c1) AS k1, CASE WHEN good THEN md5(c2) END AS k2, CASE WHEN good OR even THEN md5(c2 || tail) END AS k3 FROM e)"""
+
+
+@query(f"WITH {_EDITIONS} SELECT textbook_id, chunk_id, k3 AS key, CASE WHEN k3 IS DISTINCT FROM k2 THEN 3 WHEN k2 <> k1 THEN 2 ELSE 1 END::bigint AS version FROM k WHERE k3 IS NOT NULL")
+def index_three_updates(spark, d):
+    """The index after three updates is what a rebuild would be, each chunk with the update that wrote it."""
+    return index.live(_updated(spark, d)).select("textbook_id", "chunk_id", "key", "version")
+
+
+@query(f"""WITH {_EDITIONS}, n AS (SELECT 1 AS version, count(k1) AS written, 0 AS removed FROM k
+    UNION ALL SELECT 2, count(*) FILTER (k2 <> k1), count(*) FILTER (k2 IS NULL) FROM k UNION ALL SELECT 3, count(*) FILTER (k3 IS NOT NULL AND k3 IS DISTINCT FROM k2), count(*) FILTER (k3 IS NULL AND k2 IS NOT NULL) FROM k)
+SELECT version::bigint AS version, written::bigint AS written, removed::bigint AS removed FROM n WHERE written + removed > 0""")
+def index_update_sizes(spark, d):
+    """What each update wrote: only chunks that changed."""
+    return _updated(spark, d).groupBy("version").agg(F.count_if("live").alias("written"), F.count_if(~F.col("live")).alias("removed"))

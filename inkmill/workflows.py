@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import hooks
 from inkmill.functions.text import suggestions
-from inkmill.operators import dialogue, embed, graph, integrate, parse, vector
-from inkmill.sources import files
+from inkmill.operators import dialogue, embed, graph, index, integrate, parse, vector
+from inkmill.sources import files, scratch
 from inkmill.sources.store import Store
 
 ANSWER = """基于以下参考内容回答用户问题，每个回答附带来源引用，格式为[教材名称, 章节]；找不到答案时请回复“{none}”。
@@ -121,12 +121,39 @@ def index_books(store: Store, file_ids: Sequence[str], index_name: str = "defaul
     return store.vectors.load(index_name).count()
 
 
+#: Books are dealt into this many parts of an index; a part is what compaction rewrites.
+BUCKETS = 64
+
+
+@_recorded
+def update_index(store: Store, file_ids: Sequence[str], index_name: str = "default", model: str = "tfidf", encode: embed.Encoder | None = None, size: int = 600, overlap: int = 100, most_dead: float = 0.3) -> dict[str, int]:
+    """Bring the index to what is stored of some books: only chunks whose content changed are embedded and written,
+    those that went get tombstones, and books not named stay as they are.  A book without chapters leaves the
+    index.  Returns how many chunks were written (``added``) and removed; ``compacted`` counts rewritten parts."""
+    spark = store.chapters.spark
+    books = spark.createDataFrame([(f,) for f in file_ids], "textbook_id string")
+    own = store.chapters.read().where(F.col("file_id").isin(*file_ids)).withColumn("textbook_title", F.coalesce("textbook_title", "textbook_id"))
+    # within an index a book goes by its file
+    chunks = parse.chunk_table(own.withColumn("textbook_id", F.col("file_id")), size, overlap)
+    keyed = index.keyed(chunks.select("textbook_id", F.col("chunk_id").cast("string").alias("chunk_id"), "textbook_title", "chapter_title", "page_start", "content"))
+    log = store.chunk_log.load(index_name)
+    version = (log.agg(F.max("version")).first()[0] or 0) + 1
+    rows = scratch.settled(index.changes(log, keyed, books, version).join(keyed, [*index.ID, "key"], "left"))
+    counts = rows.agg(F.count_if("live").alias("added"), F.count_if(~F.col("live")).alias("removed")).first().asDict()
+    if any(counts.values()):
+        new = rows.where("live").withColumn("text", F.col("content"))
+        known = vectors_of(store, new, model, encode).drop("text") if counts["added"] else new.drop("text").withColumn("vector", F.lit(None).cast("array<double>"))
+        whole = known.unionByName(rows.where("not live").withColumn("vector", F.lit(None).cast("array<double>")))
+        store.chunk_log.append(whole.withColumns({"index_name": F.lit(index_name), "bucket": F.pmod(F.xxhash64("textbook_id"), F.lit(BUCKETS)).cast("int")}))
+    return counts | {"compacted": store.compact(index_name, most_dead) if counts["removed"] or counts["added"] else 0}
+
+
 def retrieve(store: Store, questions: DataFrame, k: int = 5, index_name: str = "default", model: str = "tfidf", encode: embed.Encoder | None = None) -> DataFrame:
     """(question_id, rank, similarity, chunk_id, textbook_title, chapter_title, page_start, content): the k nearest
     chunks of each question (question_id, question)."""
     asked = questions.select(F.col("question_id").alias("id"), F.coalesce("question", F.lit("")).alias("text"))
     queries = _encoder(store, model, asked, encode)(asked).select(F.col("id").alias("query_id"), "vector")
-    own = store.vectors.load(index_name)
+    own = store.index_rows(index_name)
     hits = vector.top_k_batch(own.select("id", "vector"), queries, k, skip_self=False)
     found = hits.join(own.select("id", "textbook_title", "chapter_title", "page_start", "content"), "id")
     return found.withColumnsRenamed({"query_id": "question_id", "id": "chunk_id"})
