@@ -1,13 +1,17 @@
 """Main text of web pages by paths on which the pages of a host agree.
 
-1. Each page's containers are scored: a block of text counts, without its linked part, for the element
-   around it and less for those above.  Its share of the page's score is a vote for the container's
-   generalised path (tags, and classes without digits, from the body down).
+1. Each page's containers are scored: a block of text counts, without its linked part, for the container
+   around it and less for those above.  Parts of an article (list items, cells, quotations, figures, sections) are
+   no containers.  From a container one climbs to the article's outer element: to each element above that adds
+   content, which is a paragraph, heading, item, cell, quotation or caption, or 60 characters and more, mostly
+   unlinked; body, and what lies above an article or main, are not climbed to.  The container's share of the page's
+   score is a vote for the outer element's generalised path (tags, and classes without digits, from the body down).
 2. Spark adds the votes up per host and path; each host's winner has the most (ties: the first by
-   name), and paths beside it, below the same parent, win too from ``BESIDE`` of its votes on.  Votes are
-   summed before they are shuffled, so a host with a third of all pages is no burden.
-3. Each page is read again, and the text of its elements on the winning paths is taken; a page without
-   such an element, or with no text there, falls back on its own best container.
+   name).  Votes are summed before they are shuffled, so a host with a third of all pages is no burden.
+3. Each page is read again, and all text of its elements on the winning path is taken, climbing further where
+   this page adds content; a page without such an element, or with no text there, falls back on its own best
+   container.  If it has no heading of the first or second level, such headings that stand before it, beside it or
+   an element around it, belong to it.
 
 Left out anywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments, by tag, role, class or id; the header of an article stays.  Blocks are trimmed, white
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.session import small_batches, stored
+from inkmill.llm.session import small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
@@ -57,8 +61,10 @@ _PLAIN = set(
     "primary secondary global mobile desktop sticky fixed first last small large post article entry story blog user reader form policy message us posts articles stories content id class js".split()
 )
 _ARTICLE = {"article", "post", "entry", "story", "content"}
-#: Of the winner's votes: from this share on a path below the same parent wins too.
-BESIDE = 0.2
+_CONTAINERS = {"article", "main", "div", "body", "center", "address", "details"}
+_CONTENT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote figcaption caption pre summary".split())
+#: So many characters are content in any element.
+CONTENT_CHARS = 60
 #: Parts of a class or id beside which a hint tells a page's state, and a layout.
 _STATES = {"no", "not", "non", "has", "have", "with", "without", "open", "opened", "closed", "enabled", "disabled"}
 _LAYOUTS = {"left", "right", "both", "layout", "wrap", "wrapper", "container"}
@@ -95,6 +101,8 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.path, self.tag, self.dropped = [-1], [""], ["#"], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, linked characters
+        self._added: list[int] | None = None
+        self._holds: list[bool] = []
         self.hint = [0]  # the innermost element with a hint, at or above each
         self._kinds: dict[int, str] = {}
         self._pieces: list[tuple[int, list[tuple[str, int, bool]]]] = []  # element, its pieces: text, hint, linked
@@ -241,17 +249,60 @@ class Page:
         """Of each container: the unlinked text around which it stands."""
         found: dict[int, float] = defaultdict(float)
         for element, text, linked in self.blocks:
-            weight = len(text) - linked
+            weight, e = len(text) - linked, element
             if weight <= 0:
                 continue
-            e = self.parent[element] if self.tag[element] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "blockquote") else element
             for share in (1.0, 0.7, 0.4, 0.2):
+                while e > 0 and self.tag[e] not in _CONTAINERS:
+                    e = self.parent[e]
                 if e <= 0:
                     break
-                found[e] += share * weight * (0.5 if self.tag[e] in ("ul", "ol", "table", "tr", "body") else 1.0)
+                found[e] += share * weight * (0.5 if self.tag[e] == "body" else 1.0)
                 e = self.parent[e]
         return found
 
+    def _adding(self) -> list[int]:
+        """Of each element how many of its children (its own text as one) hold content."""
+        if self._added is None:
+            self._added, self._holds = [0] * len(self.tag), [False] * len(self.tag)
+            own = set()
+            for element, text, linked in self.blocks:
+                e = element
+                while e > 0 and self.tag[e] not in _BLOCK:
+                    e = self.parent[e]
+                if 2 * linked > len(text) or not (self.tag[e] in _CONTENT or len(text) >= CONTENT_CHARS):
+                    continue
+                if e not in own:
+                    own.add(e)
+                    self._added[e] += 1
+                while e > 0 and not self._holds[e]:
+                    self._holds[e] = True
+                    self._added[self.parent[e]] += 1
+                    e = self.parent[e]
+        return self._added
+
+    def outer(self, e: int) -> int:
+        """The article's outer element from a container on."""
+        added, found, above = self._adding(), e, self.parent[e]
+        while above > 0 and self.tag[above] != "body" and self.tag[e] not in ("article", "main", "body"):
+            if added[above] - self._holds[e] > 0:
+                found = above
+            e, above = above, self.parent[above]
+        return found
+
+    def titles(self, root: int) -> set[int]:
+        """Headings before an article without one: beside it or an element around it."""
+        inside, ends = {root}, {root}
+        for e in range(root + 1, len(self.tag)):  # elements are numbered in page order
+            if self.parent[e] in inside:
+                inside.add(e)
+        if any(self.tag[e] in ("h1", "h2") and e in inside for e, _, _ in self.blocks):
+            return set()
+        while root > 0:
+            root = self.parent[root]
+            ends.add(root)
+        return {e for e, _, _ in self.blocks if self.tag[e] in ("h1", "h2") and e < min(inside) and self.parent[e] in ends}
+
     def best(self) -> int | None:
         scores = self.scores()
         return min(scores, key=lambda e: (-scores[e], e)) if scores else None
@@ -261,20 +312,23 @@ class Page:
         scores = self.scores()
         total = max(scores.values(), default=0)
         for e, s in scores.items():
-            found[self.path[e]] = max(found[self.path[e]], s / total)
+            path = self.path[self.outer(e)]
+            found[path] = max(found[path], s / total)
         return found
 
     def text(self, roots: set[int]) -> str:
-        """Blocks of these elements and what is below them."""
+        """Blocks of the outer elements of these, their titles, and what is below them."""
+        roots = {self.outer(e) for e in roots if e > 0}
+        roots |= self.titles(min(roots)) if roots else set()
         inside = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
             inside[e] = e in roots or inside[self.parent[e]]
         return "\n".join(text for e, text, _ in self.blocks if inside[e])
 
 
-def extract_page(source: str | None, winners: list[str] | None) -> str:
+def extract_page(source: str | None, winner: str | None) -> str:
     page = Page(source or "")
-    text = page.text({e for e, p in enumerate(page.path) if p in winners}) if winners else ""
+    text = page.text({e for e, p in enumerate(page.path) if p == winner}) if winner else ""
     if not text:
         best = page.best()
         text = page.text({best}) if best is not None else "\n".join(t for _, t, _ in page.blocks)
@@ -298,12 +352,8 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """(host, winner): the path with the most votes, and those beside it."""
-    votes = stored(votes, "votes")
-    best = votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).selectExpr("host", "best.path as best", "-best.col1 as most")
-    above = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    beside = (F.col("path") == F.col("best")) | (F.col("path").contains("/") & (above(F.col("path")) == above(F.col("best"))) & (F.col("votes") >= BESIDE * F.col("most")))
-    return votes.join(best, "host").where(beside).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("winner"))
+    """(host, winner): the path with the most votes."""
+    return votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).selectExpr("host", "best.path as winner")
 
 
 def extract(pages: DataFrame, share_hosts: int = 50_000) -> DataFrame:
@@ -315,7 +365,7 @@ def extract(pages: DataFrame, share_hosts: int = 50_000) -> DataFrame:
     won = winning_paths(host_votes(own))
     some = won.limit(share_hosts + 1).collect()
     if len(some) <= share_hosts:
-        shared, joined = spark.sparkContext.broadcast({r["host"]: r["winner"] for r in some}), own.withColumn("winner", F.lit(None).cast("array<string>"))
+        shared, joined = spark.sparkContext.broadcast({r["host"]: r["winner"] for r in some}), own.withColumn("winner", F.lit(None).cast("string"))
     else:
         shared, joined = spark.sparkContext.broadcast({}), own.join(won, "host", "left")
 

@@ -84,6 +84,48 @@ def test_parts_side_by_side_all_win(spark):
     assert all("part one" in t and "part two" in t for t in got)
 
 
+P = "The paragraph says what there is to say, and then some more of it. " * 3
+LAYOUTS = {
+    "title beside the body": ("<main><h1>Title</h1><div class='body'><p>{p}</p><p>Two.</p></div></main>", ["Title", "{p}", "Two."]),
+    "title, lead and content": ("<article><h1>Title</h1><p class='lead'>Lead.</p><div class='entry-content'><p>{p}</p><p>Two.</p></div></article>", ["Title", "Lead.", "{p}", "Two."]),
+    "figure and closing line": ("<article><h1>Title</h1><figure><img src='x'><figcaption>Caption.</figcaption></figure><div class='text'><p>{p}</p></div><p>Closing.</p></article>", ["Title", "Caption.", "{p}", "Closing."]),
+    "long quotation": ("<div class='post'><p>Intro.</p><blockquote><p>{p}</p><p>{p}</p></blockquote><p>Closing.</p></div>", ["Intro.", "{p}", "{p}", "Closing."]),
+    "long cell": ("<div class='post'><p>Intro.</p><table><tr><td>{p}</td><td>x</td></tr></table><p>Closing.</p></div>", ["Intro.", "{p}", "x", "Closing."]),
+    "long item": ("<div class='post'><p>Intro.</p><ul><li>{p}</li><li>y</li></ul><p>Closing.</p></div>", ["Intro.", "{p}", "y", "Closing."]),
+    "short section": ("<div class='page'><section><h1>Title</h1><p>{p}</p></section><section class='short'><p>Short.</p></section></div>", ["Title", "{p}", "Short."]),
+    "nested wrappers": ("<article><h1>Title</h1><div class='wrap'><div class='entry'><p>{p}</p></div></div></article>", ["Title", "{p}"]),
+    "title outside the article": ("<main><h1>Title</h1><article><p>{p}</p></article><div class='more'><p>Another text that stands beside it.</p></div></main>", ["Title", "{p}"]),
+    "title in the body": ("<h1>Title</h1><div class='content'><p>{p}</p></div>", ["Title", "{p}"]),
+}
+
+
+def laid_out(name, i=0):
+    body, want = LAYOUTS[name]
+    p = " ".join((P + f"Page {i}.").split())
+    chrome = "<nav><a href='/'>Home</a></nav><div class='ad'>Buy this.</div>"
+    return f"<html><body>{chrome}{body.format(p=p)}<aside>Beside it</aside><footer>Imprint</footer></body></html>", "\n".join(want).format(p=p)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_whole_articles_in_real_layouts(spark, n):
+    pages = [(f"http://l{h}.example/{i}", *laid_out(name, i)) for h, name in enumerate(LAYOUTS) for i in range(n)]
+    got = extract(spark, [(i, url, html) for i, (url, html, _) in enumerate(pages)])
+    assert dict(zip(((u, w) for u, _, w in pages), got)) == {(u, w): w for u, _, w in pages}
+
+
+def test_one_host_with_mixed_layouts(spark):
+    """Pages that lack the host's path, or add to it, are whole too.  (The host's element is main, so a page with
+    an article and another text in its main would keep both.)"""
+    names = ["title beside the body"] * 4 + [n for n in LAYOUTS if n != "title outside the article"]
+    pages = [laid_out(name, i) for i, name in enumerate(names)]
+    assert extract(spark, [(i, "http://mixed.example/", html) for i, (html, _) in enumerate(pages)]) == [want for _, want in pages]
+
+
+def test_what_stands_around_an_article_stays_out(spark):
+    html = "<body><div id='page'><div class='logo'>My site</div><div class='post'><h1>Title</h1><p>" + P + "</p></div><ul><li><a href='/1'>One linked thing</a></li><li><a href='/2'>Another linked thing</a></li></ul></div></body>"
+    assert extract(spark, [(i, "http://o.example/", html) for i in range(3)]) == ["Title\n" + " ".join(P.split())] * 3
+
+
 class Plain(HTMLParser):
     """A second version for pages of one article: its blocks, by the library's parser."""
 
