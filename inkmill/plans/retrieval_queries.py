@@ -124,11 +124,11 @@ def retrieval_quality(spark, d):
 
 
 def _editions(spark, d):
-    """The chunks as they are before each update: at the second, toxic ones are in capitals and those of low quality
+    """The chunks as they are before each update: at the second, toxic ones begin otherwise and those of low quality
     gone; at the third, half of these are back, and German ones end otherwise."""
     docs = read(spark, d, "documents").select(F.col("source").alias("textbook_id"), F.col("doc_id").alias("chunk_id"), "lang", F.col("text").alias("content"))
     both = docs.join(read(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), "quality", "toxic"), "chunk_id", "left")
-    second = both.withColumn("content", F.expr("if(toxic = 1, upper(content), content)"))
+    second = both.withColumn("content", F.expr("if(toxic = 1, concat('!', content), content)"))
     third = second.withColumn("content", F.expr("if(lang = 'de', concat(content, '.'), content)"))
     return docs, second.where("quality is null or quality = 1"), third.where("quality is null or quality = 1 or chunk_id % 2 = 0")
 
@@ -141,7 +141,7 @@ def _updated(spark, d):
     return log
 
 
-_EDITIONS = """e AS (SELECT source AS textbook_id, doc_id AS chunk_id, text AS c1, CASE WHEN toxic = 1 THEN upper(text) ELSE text END AS c2, CASE WHEN lang = 'de' THEN '.' ELSE '' END AS tail, quality IS NULL OR quality = 1 AS good, doc_id % 2 = 0 AS even
+_EDITIONS = """e AS (SELECT source AS textbook_id, doc_id AS chunk_id, text AS c1, CASE WHEN toxic = 1 THEN '!' || text ELSE text END AS c2, CASE WHEN lang = 'de' THEN '.' ELSE '' END AS tail, quality IS NULL OR quality = 1 AS good, doc_id % 2 = 0 AS even
     FROM documents LEFT JOIN labels USING (doc_id)),
 k AS (SELECT textbook_id, chunk_id, md5(c1) AS k1, CASE WHEN good THEN md5(c2) END AS k2, CASE WHEN good OR even THEN md5(c2 || tail) END AS k3 FROM e)"""
 
