@@ -128,7 +128,10 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     Spans of all kinds are those of ``find``, on the text as it was.  Overlapping ones are replaced as
     one, by the kind of the longest (ties: the first in the order email, iban, card, ip, phone)."""
     order = ("email", "iban", "card", "ip", "phone")
-    every = ", ".join(f"transform(filter(__{k}, x -> x.score >= {least_score}D), x -> named_struct('start', x.start, 'end', x.end, 'n', x.end - x.start, 'kind', {i}))" for i, k in enumerate(order))
+    held = "__spans"
+    while held in {c.lower() for c in docs.columns}:
+        held += "_"
+    every = ", ".join(f"transform(filter({held}.{k}, x -> x.score >= {least_score}D), x -> named_struct('start', x.start, 'end', x.end, 'n', x.end - x.start, 'kind', {i}))" for i, k in enumerate(order))
     better = "x.n > a.n or x.n = a.n and x.kind < a.kind"
     open_one = "named_struct('start', a.start, 'end', a.end, 'kind', a.kind)"
     none = "cast(array() as array<struct<start: int, end: int, kind: int>>)"
@@ -148,5 +151,5 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     joined = f"concat(array_join({pieces}, ''), {cut('s[size(s) - 1].end', 'length(text)')})"
     blocks = f"regexp_extract_all(text, {_quoted(f'(?s).{{1,{BLOCK}}}+')}, 0)"
     masked = f"transform(array({merged}), s -> if(size(s) = 0, text, transform(array({blocks}), b -> {joined})[0]))[0]"
-    found = docs.select("*", *[spans(k, "coalesce(text, '')").alias(f"__{k}") for k in order])
+    found = docs.select("*", F.struct(*[spans(k, "coalesce(text, '')").alias(k) for k in order]).alias(held))
     return found.withColumn("text", F.expr(masked)).select(docs.columns)

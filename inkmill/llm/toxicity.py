@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmill.llm.session import small_batches, stored
+from inkmill.llm.session import discard, small_batches, stored
 from inkmill.llm.textkit import U64, mix, slices, span_hash
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
@@ -232,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> ToxicityMod
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], names=["doc_id", "toxic", "term", "tf"])
 
     examples = sorted(drawn.mapInArrow(features, "doc_id long, toxic int, term binary, tf binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["term"]))
+    discard(drawn)
     labels = np.array([float(r["toxic"] == 1) for r in examples])
     model = ToxicityModel(known, idf, np.array([-1 if r["doc_id"] is None else r["doc_id"] for r in examples], dtype=np.int64), labels, BlockMax(0, []), rate)
     vectors = [model._weigh(np.frombuffer(r["term"], "<u4").astype(np.int64), np.frombuffer(r["tf"], "<u4")) for r in examples]

@@ -111,3 +111,9 @@ def test_iban_before_upper_case_words(spark):
         assert [x for x in found[i].split(",") if x.startswith("iban")] == [f"iban:{x}" for x in want]
         assert masked[i].count("[IBAN]") == len(want)
     assert masked[0] == "[IBAN] BIC: COBADEFFXXX"
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.de", "x", "y", "z")], "doc_id long, text string, __email string, __spans string, __SPANS_ string")
+    got = pii.redact(df).collect()[0]
+    assert tuple(got) == (1, "mail [EMAIL]", "x", "y", "z")
