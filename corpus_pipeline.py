@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm import jaccard_join, packing, pii, substring_dedup, toxicity
-from inkmill.llm.session import read_table, stored
+from inkmill.llm.session import discard, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what a stage has read is not needed once its output is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
