@@ -241,3 +241,25 @@ def select_for_budget(spark, d):
 @query(f"{_BUDGET}, {RELATIONS_SQL} SELECT source, target, relation_type, seq FROM relations WHERE source IN (SELECT id FROM chosen) AND target IN (SELECT id FROM chosen)")
 def optimize_compression(spark, d):
     return integrate.optimize_compression(nodes(spark, d), relations(spark, d))[1].select("source", "target", "relation_type", "seq")
+
+
+_SWEEP = f"""{_PAIRS}, f AS (SELECT id2 AS id, max(round(similarity, 6)) AS threshold FROM pairs GROUP BY id2),
+t AS (SELECT threshold, count(*) AS n, sum(length(lang) + length(text))::bigint AS c FROM f JOIN documents ON doc_id = id GROUP BY threshold),
+s AS (SELECT threshold, (sum(n) OVER w)::bigint AS removed_nodes, (sum(c) OVER w)::bigint AS removed_chars, 1 - (sum(c) OVER w) / (SELECT sum(length(lang) + length(text)) FROM documents) AS ratio FROM t WINDOW w AS (ORDER BY threshold DESC))"""
+
+
+def _sweep(spark, d):
+    """Documents of different sources as nodes; half of the characters may stay."""
+    pairs = _pairs(spark, d).select(F.col("id2").cast("string").alias("node2_id"), F.round("similarity", 6).alias("similarity"))
+    return integrate.threshold_sweep(_document_nodes(spark, d), pairs, 0.5)
+
+
+@query(f"{_SWEEP} SELECT threshold, removed_nodes, removed_chars, round(ratio, 6) AS ratio, ratio <= 0.5 AS is_within_limit FROM s")
+def threshold_sweep(spark, d):
+    return _sweep(spark, d).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"{_SWEEP} SELECT threshold, removed_nodes, removed_chars, round(ratio, 6) AS ratio, true AS is_within_limit FROM s WHERE ratio <= 0.5 ORDER BY threshold DESC LIMIT 1")
+def budget_threshold(spark, d):
+    """The largest threshold at which merging leaves at most half of the characters."""
+    return integrate.budget_threshold(_sweep(spark, d)).withColumn("ratio", F.round("ratio", 6))

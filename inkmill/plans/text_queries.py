@@ -165,3 +165,35 @@ def model_answers(spark, d):
     answer = F.expr("case event_id % 4 when 0 then concat('```json\\n', props, '\\n```') when 1 then concat('  ', props) when 2 then concat('Here: ', props, ' as asked') else concat('no {', props) end")
     answers = read(spark, d, "events").select("event_id", answer.alias("answer"))
     return answers.select("event_id", F.get_json_object(T.model_json("answer"), "$.k").cast("long").alias("k"))
+
+
+# --- running headers and footers: documents are pages of their sources, nine in ten with a header and a page number
+
+_PAGES = "SELECT source AS textbook_id, doc_id, CASE WHEN doc_id % 10 <> 0 THEN 'Vol. ' || source || ', page ' || doc_id || chr(10) || text || chr(10) || chr(10) || '- ' || doc_id || ' -' ELSE text END AS content FROM documents"
+
+
+def _paged(spark, d):
+    docs = read(spark, d, "documents")
+    framed = F.concat(F.lit("Vol. "), "source", F.lit(", page "), "doc_id", F.lit("\n"), "text", F.lit("\n\n- "), "doc_id", F.lit(" -"))
+    return docs.select(F.col("source").alias("textbook_id"), "doc_id", F.when(F.col("doc_id") % 10 != 0, framed).otherwise(F.col("text")).alias("content"))
+
+
+_RUNNING = f"""p AS ({_PAGES}),
+l AS (SELECT textbook_id, doc_id, i, l[i] AS line, {_strip('l[i]')} AS s FROM (SELECT textbook_id, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT textbook_id, doc_id, string_split(content, chr(10)) AS l FROM p))),
+e AS (SELECT textbook_id, doc_id, i, CASE WHEN j <= 2 THEN j WHEN j > n - 2 THEN j - n - 1 ELSE 0 END AS place, regexp_replace(s, '[0-9]+', '#', 'g') AS k
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE s <> '')),
+v AS (SELECT textbook_id, place, k, count(*) AS n FROM e WHERE place <> 0 GROUP BY ALL),
+r AS (SELECT v.* FROM v JOIN (SELECT textbook_id, count(*) AS pages FROM p GROUP BY ALL) USING (textbook_id) WHERE n > 0.5 * pages AND n >= 3)"""
+
+
+@query(f"WITH {_RUNNING} SELECT textbook_id, place::int AS place, k AS line FROM r")
+def running_lines(spark, d):
+    return parse.running_lines(_paged(spark, d)).select("textbook_id", F.inline("lines").alias("place", "line"))
+
+
+@query(f"""WITH {_RUNNING}, g AS (SELECT doc_id, i FROM e JOIN r USING (textbook_id, place, k)),
+kept AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS content FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND g.i = l.i) GROUP BY doc_id)
+SELECT p.doc_id, coalesce(kept.content, md5('')) AS content, (SELECT count(*) FROM g WHERE g.doc_id = p.doc_id) AS removed FROM p LEFT JOIN kept USING (doc_id)""")
+def pages_without_running_lines(spark, d):
+    found = parse.without_running_lines(_paged(spark, d))
+    return found.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"), F.col("removed").cast("long").alias("removed"))
