@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.text import suggestions as suggest
 from inkmill.operators import dialogue
 from inkmill.plans.tables import read
+from inkmill.streaming import messages
 from inkmill.streaming.conversations import conversation_state, run_available
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +81,14 @@ def conversation_batch(spark, d):
 def conversation_stream(spark, d):
     """The same state kept by a streaming query over the files that are there."""
     return run_available(spark, f"{d}/conversations.parquet", TOPICS)
+
+
+_NAMED = "CASE " + " ".join(f"WHEN contains(text, '{t}') THEN '{t}'" for t in TOPICS) + " END"
+
+
+@query(f"""SELECT conv_id, turn, last_value({_NAMED} IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS current_topic,
+md5(string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS history FROM conversations""")
+def message_stream(spark, d):
+    """Each message of a stream with the topic and the last ten messages as its state tells them."""
+    found = messages.run_available(spark, f"{d}/conversations.parquet", topics=TOPICS)
+    return found.select("conv_id", "turn", "current_topic", F.md5(F.col("history").cast("binary")).alias("history"))
