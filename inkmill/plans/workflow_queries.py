@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkmill import workflows
 from inkmill.functions import hooks
 from inkmill.operators import dialogue, embed, integrate, vector
 from inkmill.plans.tables import NODES_SQL, nodes, read
-from inkmill.sources import files
+from inkmill.sources import files, scratch
+from inkmill.sources.store import Store
 
 QUERIES, ORACLE = {}, {}
 
@@ -160,3 +163,23 @@ _NAMED = "element_at(array('a.TXT', 'b.md', 'c.docx', 'd.xlsx', 'e.exe', 'none')
 def upload_check(spark, d):
     own = read(spark, d, "documents").select("doc_id", F.expr(_NAMED).alias("filename"), (F.col("n_chars") * 200000).alias("size"))
     return files.upload_check(own).select("doc_id", "accepted", "reason")
+
+
+# --- chat turns: benchmark items are new messages of the conversations of their number, had or not
+
+_FRAME = len(workflows.CHAT.replace("{history}", "").replace("{message}", ""))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT item_id, coalesce(m + 1, 0), 'user', text FROM benchmark LEFT JOIN (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id) ON conv_id = item_id),
+h AS (SELECT conv_id, max(turn) AS turn, string_agg({_LINE}text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM c) WHERE r <= 10 GROUP BY conv_id)
+SELECT item_id::varchar AS conv_id, turn, 'user' AS role, md5(text) AS text FROM benchmark JOIN h ON conv_id = item_id
+UNION ALL SELECT item_id::varchar, turn + 1, 'assistant', md5(({_FRAME} + length(history) + length(text))::varchar) FROM benchmark JOIN h ON conv_id = item_id""")
+def chat_turns(spark, d):
+    """What a batch of turns adds, run twice; the model's answer is the length of its prompt."""
+    store = Store(spark, f"{scratch.shared_folder(spark)}/chat-{uuid.uuid4().hex}")
+    store.messages.put("before", read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text"))
+    turns = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("conv_id"), "text")
+    for _ in range(2):  # the second time as a retry
+        workflows.chat_batch(store, turns, lambda prompts: [str(len(p)) for p in prompts], "new")
+    added = store.messages.read().where("batch = 'new'")
+    return added.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))

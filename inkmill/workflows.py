@@ -7,9 +7,10 @@ once and read back.  Tasks record their state; one that fails records the error
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import hooks
@@ -18,18 +19,18 @@ from inkmill.operators import dialogue, embed, graph, index, integrate, parse, v
 from inkmill.sources import files, scratch
 from inkmill.sources.store import Store
 
-ANSWER = """基于以下参考内容回答用户问题，每个回答附带来源引用，格式为[教材名称, 章节]；找不到答案时请回复“{none}”。
+ANSWER = """你将得到若干教材片段和一个问题。只依据片段作答，引用之处写明[教材名称, 章节]；片段不足以作答时只写“{none}”。
 
-参考内容：
+片段：
 {context}
 
-用户问题：{question}"""
-CHAT = """请根据对话历史回复用户。
+问题：{question}"""
+CHAT = """下面是一段对话的最近内容和刚收到的一条消息。请接着作答：说明所依据的整合决策，改动之前先请对方确认。
 
-对话历史：
+最近内容：
 {history}
 
-用户最新消息：{message}"""
+刚收到：{message}"""
 EQUIVALENT = """以下两个知识点是否描述同一个概念？请以JSON返回 is_equivalent、confidence、reason。
 
 1. {one}
@@ -179,31 +180,51 @@ def ask(store: Store, questions: DataFrame, provider: hooks.Provider, k: int = 5
     return found.select("question_id", "question", "answer", keep("citations"), keep("source_chunks"))
 
 
+def chat_batch(store: Store, turns: DataFrame, provider: hooks.Provider, batch: str, n: int = 10) -> DataFrame:
+    """(conv_id, turn, response, suggestions) of users' new messages (conv_id, text), for each conversation one
+    reply after its last message; a null conv_id begins a conversation.
+
+    Messages and replies are written together under the batch's name, and what a batch of that name wrote before is
+    replaced and not looked at: one that is run again, after whatever failed, leaves what it would have
+    left at once.  Several messages of a conversation are taken in order of ``sent``, if there is such a column, and of text.
+    Where the provider fails the response is null and the messages stay.  Blank messages are passed over."""
+    new_id = F.concat(F.lit("conv_"), F.substring(F.md5(F.concat(F.lit(f"{batch}:"), "text")), 1, 8))
+    sent = F.col("sent") if "sent" in turns.columns else F.lit(None)
+    own = turns.where("trim(text) <> ''").select(F.coalesce(F.col("conv_id").cast("string"), new_id).alias("conv_id"), "text", sent.alias("sent"))
+    before = store.messages.read().where(F.coalesce(F.col("batch") != batch, F.lit(True)))
+    known = before.join(own.select("conv_id"), "conv_id", "left_semi")
+    last = known.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    order = Window.partitionBy("conv_id").orderBy("sent", "text")
+    asked = own.withColumn("__n", F.row_number().over(order)).join(last, "conv_id", "left")
+    asked = scratch.settled(asked.select("conv_id", (F.coalesce("last", F.lit(-1)) + F.col("__n")).alias("turn"), F.lit("user").alias("role"), "text"))
+    history = dialogue.transcript(known.select("conv_id", "turn", "role", "text").unionByName(asked), n)
+    newest = asked.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    prompts = newest.join(history, "conv_id").withColumn("prompt", _filled(CHAT, history="history", message="text"))
+    replies = hooks.answers(prompts, provider).where("answer is not null")
+    said = replies.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    store.messages.put(batch, asked.unionByName(said).withColumn("written", F.current_timestamp().cast("timestamp_ntz")))
+    written = store.messages.read().where((F.col("batch") == batch) & (F.col("role") == "assistant")).select("conv_id", F.col("text").alias("response"))
+    return newest.join(written, "conv_id", "left").select("conv_id", "turn", "response", suggestions("text").alias("suggestions"))
+
+
 def chat(store: Store, turns: DataFrame, provider: hooks.Provider, n: int = 10) -> DataFrame:
-    """(conv_id, turn, response, suggestions) of users' new messages (conv_id, text), one a conversation; a
-    null conv_id begins one.  Message and response are added to the store; where the provider fails the
-    response is null and the message stays.  A blank message is an error and nothing is added."""
-    spark = turns.sparkSession
+    """``chat_batch`` of messages (conv_id, text), one a conversation, as a batch of its own.  A blank message, or two of one
+    conversation, are an error and nothing is added."""
     if turns.where("text is null or trim(text) = ''").limit(1).count():
         raise ValueError("Message cannot be empty")
-    stamp = spark.sql("select unix_micros(current_timestamp())").first()[0]
-    new_id = F.concat(F.lit("conv_"), F.substring(F.md5(F.concat(F.lit(f"{stamp}:"), "text")), 1, 8))
-    own = turns.select(F.coalesce(F.col("conv_id").cast("string"), new_id).alias("conv_id"), "text")
-    if own.groupBy("conv_id").count().where("count > 1").limit(1).count():
+    if turns.where("conv_id is not null").groupBy("conv_id").count().where("count > 1").limit(1).count():
         raise ValueError("one message a conversation")
-    last = store.messages.read().groupBy("conv_id").agg(F.max("turn").alias("last"))
-    written = F.timestamp_micros(F.lit(stamp)).cast("timestamp_ntz")
-    asked = own.join(last, "conv_id", "left").select("conv_id", (F.coalesce("last", F.lit(-1)) + 1).alias("turn"), F.lit("user").alias("role"), "text", written.alias("written"))
-    store.messages.append(asked)
-    # from here on the store tells which messages are new: those of this stamp
-    all_ = store.messages.read()
-    new = all_.where((F.col("written") == written) & (F.col("role") == "user"))
-    history = dialogue.transcript(all_.join(new.select("conv_id"), "conv_id", "left_semi"), n)
-    prompts = new.select("conv_id", "turn", "text").join(history, "conv_id").withColumn("prompt", _filled(CHAT, history="history", message="text"))
-    replies = hooks.answers(prompts, provider).where("answer is not null")
-    store.messages.append(replies.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"), written.alias("written")))
-    said = store.messages.read().where((F.col("written") == written) & (F.col("role") == "assistant")).select("conv_id", F.col("text").alias("response"))
-    return new.join(said, "conv_id", "left").select("conv_id", "turn", "response", suggestions("text").alias("suggestions"))
+    return chat_batch(store, turns, provider, f"chat-{uuid.uuid4().hex}", n)
+
+
+def chat_stream(store: Store, turns: DataFrame, provider: hooks.Provider, checkpoint: str, name: str, n: int = 10) -> None:
+    """Answer what is new in a stream of messages (conv_id, text, ...); each micro-batch is a batch of the stream's
+    name and its number, so one that is retried adds nothing."""
+    def step(rows: DataFrame, number: int) -> None:
+        chat_batch(store, rows, provider, f"{name}-{number}", n)
+
+    stream = turns.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.awaitTermination()
 
 
 def align(nodes: DataFrame, vectors: DataFrame, books: Sequence[str], threshold: float = 0.7, provider: hooks.Provider | None = None) -> DataFrame:

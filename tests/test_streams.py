@@ -2,6 +2,8 @@
 
 import random
 
+from inkmill import workflows
+from inkmill.sources.store import Store
 from inkmill.streaming import messages
 
 MESSAGE = "conv_id string, turn long, role string, text string"
@@ -58,3 +60,46 @@ def test_null_texts_and_keys(spark, tmp_path):
     put(spark, str(tmp_path / "in"), [("c", 1, "user", None), (None, 1, "user", "red"), ("c", 2, None, "red"), ("c", None, "user", "blue")], "a")
     got = {r["turn"]: (r["role"], r["current_topic"], r["history"]) for r in messages.run_available(spark, str(tmp_path / "in") + "/*", None, TOPICS, n=3).collect()}
     assert got == {1: ("user", None, ""), 2: (None, "red", "助手: red")}
+
+
+def log(store):
+    return sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in store.messages.read().collect())
+
+
+def test_a_replayed_chat_batch_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    asked = []
+
+    def provider(prompts):
+        return [str(p.count("用户: ")) for p in prompts]
+
+    one = spark.createDataFrame([("a", "hello", 1), ("a", "again", 2), (None, "new here", 1), ("b", " ", 1)], "conv_id string, text string, sent int")
+    first = {r["conv_id"]: (r["turn"], r["response"]) for r in workflows.chat_batch(store, one, provider, "s-0").collect()}
+    assert first["a"] == (1, "2") and len(first) == 2 and "b" not in first
+    before = log(store)
+    assert [m[1:3] for m in before if m[0] == "a"] == [(0, "user"), (1, "user"), (2, "assistant")]
+    again = {r["conv_id"]: (r["turn"], r["response"]) for r in workflows.chat_batch(store, one, provider, "s-0").collect()}
+    assert again == first and log(store) == before  # a retry, and nothing was added
+    workflows.chat_batch(store, one.where("conv_id = 'a' and sent = 1"), provider, "s-1")
+    assert [m[1] for m in log(store) if m[0] == "a"] == [0, 1, 2, 3, 4]
+
+    def fails(prompts):
+        asked.append(len(prompts))
+        raise RuntimeError("no service")
+
+    two = spark.createDataFrame([("z", "x")], "conv_id string, text string")
+    assert workflows.chat_batch(store, two, fails, "t-0").first()["response"] is None
+    assert [m for m in log(store) if m[0] == "z"] == [("z", 0, "user", "x")]
+    workflows.chat_batch(store, two, provider, "t-0")  # the retry of a batch whose provider failed
+    assert [m for m in log(store) if m[0] == "z"] == [("z", 0, "user", "x"), ("z", 1, "assistant", "1")]
+    assert [r["turn"] for r in store.history("z").collect()] == [0, 1]
+
+
+def test_chat_as_a_stream_with_a_restart(spark, tmp_path):
+    store, path, place = Store(spark, str(tmp_path / "store")), str(tmp_path / "in"), str(tmp_path / "place")
+    provider = lambda prompts: [str(p.count("用户: ")) for p in prompts]
+    for i, rows in enumerate([[("a", "one")], [("a", "two"), ("b", "x")]]):
+        spark.createDataFrame(rows, "conv_id string, text string").coalesce(1).write.parquet(f"{path}/p{i}")
+        for _ in range(2):  # the second run finds nothing new
+            workflows.chat_stream(store, spark.readStream.schema("conv_id string, text string").parquet(path + "/*"), provider, place, "s")
+    assert log(store) == [("a", 0, "user", "one"), ("a", 1, "assistant", "1"), ("a", 2, "user", "two"), ("a", 3, "assistant", "2"), ("b", 0, "user", "x"), ("b", 1, "assistant", "1")]
