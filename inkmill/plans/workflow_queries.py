@@ -183,3 +183,13 @@ def chat_turns(spark, d):
         workflows.chat_batch(store, turns, lambda prompts: [str(len(p)) for p in prompts], "new")
     added = store.messages.read().where("batch = 'new'")
     return added.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT 'source=' || source AS book, 'completed' AS parse_status, 1::bigint AS chapter_count, (sum(length(text)) + count(*) - 1)::bigint AS total_chars FROM documents GROUP BY source")
+def files_taken_in(spark, d):
+    """Documents written out as a text file for each source, and taken in as a stream of files."""
+    folder = f"{scratch.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = read(spark, d, "documents").select("source", "doc_id", "text")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(f"{folder}/in")
+    found = workflows.take_in(Store(spark, f"{folder}/store"), f"{folder}/in/*/*.txt", f"{folder}/place")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("book"), "parse_status", "chapter_count", "total_chars")

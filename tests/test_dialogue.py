@@ -99,7 +99,7 @@ def test_office_files_and_failures_alone(spark, tmp_path):
     assert [g[0] for g in got] == ["a", "a", "a", "b"]
     assert [g[2] for g in got] == ["first", "a & b", "c", "word\t\t1.5\n\tTrue\tin"] and [g[1] for g in got][1:] == ["One", "第二章 Two", "S1"]
     status = {r["filename"]: (r["parse_status"], r["error_message"], r["chapter_count"]) for r in files.parse_status(spark, str(tmp_path)).collect()}
-    assert status == {"a.docx": ("completed", None, 3), "b.xlsx": ("completed", None, 1), "c.docx": ("failed", "cannot be read", 0), "d.pdf": ("failed", "unsupported file format: .pdf", 0)}
+    assert status == {"a.docx": ("completed", None, 3), "b.xlsx": ("completed", None, 1), "c.docx": ("failed", "BadZipFile: File is not a zip file", 0), "d.pdf": ("failed", "unsupported file format: .pdf", 0)}
 
 
 def test_sheets_and_paragraphs(spark):

@@ -103,3 +103,22 @@ def test_chat_as_a_stream_with_a_restart(spark, tmp_path):
         for _ in range(2):  # the second run finds nothing new
             workflows.chat_stream(store, spark.readStream.schema("conv_id string, text string").parquet(path + "/*"), provider, place, "s")
     assert log(store) == [("a", 0, "user", "one"), ("a", 1, "assistant", "1"), ("a", 2, "user", "two"), ("a", 3, "assistant", "2"), ("b", 0, "user", "x"), ("b", 1, "assistant", "1")]
+
+
+def test_files_as_a_stream_with_a_restart_and_broken_files(spark, tmp_path):
+    store, folder, place = Store(spark, str(tmp_path / "store")), tmp_path / "in", str(tmp_path / "place")
+    folder.mkdir()
+    (folder / "f1_one.txt").write_text("第一章 Cells\nwater\n第二章 Atoms\nelectrons\n", encoding="utf-8")
+    (folder / "f2_bad.docx").write_bytes(b"no archive at all")
+    (folder / "f3_x.exe").write_bytes(b"x")
+    status = lambda: {r["file_id"]: r for r in workflows.take_in(store, str(folder), place).collect()}
+    first = status()
+    assert {k: (r["parse_status"], r["chapter_count"]) for k, r in first.items()} == {"f1": ("completed", 2), "f2": ("failed", 0), "f3": ("failed", 0)}
+    assert first["f2"]["error_message"].startswith("BadZipFile: ") and first["f3"]["error_message"] == "unsupported file format: .exe"
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "chapters").rglob("part-*")}
+    assert status() == first  # nothing new
+    (folder / "f4_two.md").write_text("# T\n## Stars\nhydrogen\n", encoding="utf-8")
+    again = status()  # a restart
+    assert set(again) == {"f1", "f2", "f3", "f4"} and {k: again[k] for k in first} == first
+    assert all(p.stat().st_mtime_ns == t for p, t in stamp.items())  # files of before were not parsed again
+    assert {r["file_id"]: r["n"] for r in store.chapters.read().groupBy("file_id").count().withColumnRenamed("count", "n").collect()} == {"f1": 2, "f4": 1}
