@@ -197,3 +197,17 @@ SELECT p.doc_id, coalesce(kept.content, md5('')) AS content, (SELECT count(*) FR
 def pages_without_running_lines(spark, d):
     found = parse.without_running_lines(_paged(spark, d))
     return found.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"), F.col("removed").cast("long").alias("removed"))
+
+
+@query(f"SELECT doc_id, i - 1 AS pos, p[i] AS paragraph FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\\n{_SPACE}*\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM documents))")
+def paragraph_split(spark, d):
+    """Documents whose lines are paragraphs: a blank line is put between them."""
+    spaced = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n \n")).alias("text"))
+    return spaced.select("doc_id", F.posexplode(F.expr(T.paragraphs_sql("text"))).alias("pos", "paragraph")).select("doc_id", F.col("pos").cast("long").alias("pos"), "paragraph")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR lang IS NULL OR lang = '' THEN '未分类' ELSE lang END AS category FROM documents")
+def default_values(spark, d):
+    """A category where there is none: every third document's is null or empty."""
+    own = read(spark, d, "documents").select("doc_id", F.expr("case doc_id % 6 when 0 then null when 3 then '' else lang end").alias("lang"))
+    return own.select("doc_id", T.or_default("lang", "未分类").alias("category"))

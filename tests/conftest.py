@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="inkmill-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
