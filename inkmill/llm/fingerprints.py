@@ -6,19 +6,17 @@ words (by hash) lies at an edge.  Whether a window is one depends on nothing out
 disturbs only the anchors that it touches and the others keep their distance from the edit.  A text of
 1 to K - 1 words has its whole sequence as its one anchor; a text without words has none.
 
-``anchors`` holds all anchors of the whole text in order, each as the 32-bit hash in 8 hex digits and the
-distance in words from the anchor before (from the text's begin: 0 for the first word) in one, as it is
-at most 3.  Likeness is positional: of the anchors that both texts hold (each at its first place), the
-most that stand in the same order in both, as a share of all distinct anchors of the two.  A shared
-passage counts wherever it stands, a moved one does not.  Where nothing moved this costs a sort;
-otherwise time grows with the square of the shared anchors.
-
-``fingerprint`` is a short key besides: the ``SIZE`` least distinct anchor hashes, in hex.  No likeness
-is computed from it.
+A fingerprint holds all anchors of the whole text in order, each as its 32-bit hash in 8 hex digits and
+the distance in words from the anchor before (from the text's begin: 0 for the first word) in one, as it
+is at most 3.  Likeness is that of two fingerprints and positional: of the anchors that both texts hold
+(each at its first place), the most that stand in the same order in both, as a share of all distinct
+anchors of the two.  A shared passage counts wherever it stands, a moved one does not.  Where nothing
+moved this costs a sort; otherwise time grows with the square of the shared anchors.
 
 Edge cases: null counts as empty; two texts without words are alike (1.0); equal texts have equal
 fingerprints; ties and repeated doc_ids are ordered by text; a null doc_id comes last; one document is
-its own next; an empty table gives an empty result.
+its own next; an empty table gives an empty result.  Very long texts are read and kept whole; columns other
+than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, SIZE = 5, 128
+K = 5
 #: Bits of an anchor's position (in words) below its hash; no string has more words.
 PLACE = 30
 _MASK = f"{(1 << PLACE) - 1}L"
@@ -49,24 +47,11 @@ def placed(text: str) -> Column:
     return F.expr(_let("h", f"transform({words}, w -> xxhash64(w))", f"if(size(h) < {K}, {few}, {many})"))
 
 
-def hashes(column: str) -> str:
-    return f"transform({column}, x -> shiftrightunsigned(x, {PLACE}))"
-
-
 def anchors(text: str) -> Column:
     """Hashes of the text's anchors, in text order."""
     return F.transform(placed(text), lambda x: F.shiftrightunsigned(x, PLACE))
 
 
-def sketch(column: str) -> str:
-    """SQL for the least hashes of placed anchors."""
-    return f"slice(array_sort(array_distinct({hashes(column)})), 1, {SIZE})"
-
-
-def as_hex(column: str) -> str:
-    return f"array_join(transform({column}, x -> lower(lpad(hex(x), 8, '0'))), '')"
-
-
 def placed_hex(column: str) -> str:
     """SQL for all placed anchors as hex: hash and distance from the one before."""
     return f"array_join(transform({column}, (x, i) -> concat(lower(lpad(hex(shiftrightunsigned(x, {PLACE})), 8, '0')), hex((x & {_MASK}) - if(i = 0, 0L, {column}[i - 1] & {_MASK})))), '')"
@@ -133,13 +118,13 @@ def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df, rows_e
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Per row: its fingerprint and all its anchors, those of its edited text (the second half replaced
-    by the beginning of the next document) and the likeness of both and of the next document's to it."""
+    """Per row: its fingerprint, that of its edited text (the second half replaced by the beginning of the
+    next document) and the likeness of its own to that and to the next document's."""
     own = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') as text")
     pairs = with_next(own, ["text", "fp"], lambda df: df.withColumn("fp", placed("text"))).withColumn("half", F.expr("cast(floor(length(text) / 2) as int)"))
     pairs = pairs.withColumn("edited", F.expr("concat(substring(text, 1, length(text) - half), substring(next_text, 1, half))"))
     pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", placed("edited").alias("edited_fp"))
     return pairs.selectExpr(
-        "doc_id", "n_chars", "edited_sha256", f"{as_hex(sketch('fp'))} as fingerprint", f"{as_hex(sketch('edited_fp'))} as edited_fingerprint", f"{likeness('fp', 'edited_fp')} as near_edited", f"{likeness('fp', 'next_fp')} as near_next",
-        f"{placed_hex('fp')} as anchors", f"{placed_hex('edited_fp')} as edited_anchors",
+        "doc_id", "n_chars", "edited_sha256", f"{placed_hex('fp')} as fingerprint", f"{placed_hex('edited_fp')} as edited_fingerprint",
+        f"{likeness('fp', 'edited_fp')} as near_edited", f"{likeness('fp', 'next_fp')} as near_next",
     )

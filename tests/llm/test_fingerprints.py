@@ -1,4 +1,10 @@
+import bisect
 import hashlib
+import re
+from itertools import pairwise
+
+import xxhash
+from pyspark.sql import functions as F
 
 from inkmill.llm import fingerprints
 from tests.llm.data import DOCS, documents, rows
@@ -25,7 +31,66 @@ def test_edited_text_and_order(spark):
     assert found[3]["fingerprint"] == found[4]["fingerprint"] and found[4]["near_next"] == 1.0
     assert found[5]["near_next"] > 0.8 > 0.2 > found[3]["near_next"]
 
-    assert len(found[3]["fingerprint"]) == 8 * fingerprints.SIZE
+
+def xx(*values):
+    """Hash of strings (by their bytes) or whole numbers, each seeded by the one before."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def plain_anchors(text):
+    """(hash, place) of each anchor, window by window."""
+    spaced = re.sub("([\u2E80-\u9FFF\uAC00-\uD7AF\u0E00-\u0E7F\uF900-\uFAFF])", r" \1 ", text or "")
+    h = [xx(w) for w in re.split(r"[ \t-\r]+", spaced) if w]
+    if len(h) < 5:
+        return [(xx(*h) & 0xFFFFFFFF, 0)] if h else []
+    out = []
+    for i in range(len(h) - 4):
+        p = [xx(a, b) for a, b in pairwise(h[i : i + 5])]
+        signed = [x - (x >> 63 << 64) for x in p]
+        if min(signed[0], signed[3]) <= min(signed[1], signed[2]):
+            out.append((xx(p[0], p[2], h[i + 4]) & 0xFFFFFFFF, i))
+    return out
+
+
+def plain_fingerprint(text):
+    found = plain_anchors(text)
+    return "".join(f"{h:08x}{at - before}" for (h, at), before in zip(found, [0, *(at for _, at in found)]))
+
+
+def plain_likeness(one, other):
+    """Read from two fingerprints alone."""
+    places = []
+    for text in (one, other):
+        at, own = 0, {}
+        for j in range(0, len(text), 9):
+            at += int(text[j + 8])
+            own.setdefault(text[j : j + 8], at)
+        places.append(own)
+    a, b = places
+    if not a and not b:
+        return 1.0
+    ends = []
+    for x in (b[h] for h in sorted(set(a) & set(b), key=a.get)):
+        ends[bisect.bisect_left(ends, x) : bisect.bisect_left(ends, x) + 1] = [x]
+    return len(ends) / (len(a) + len(b) - len(ends))
+
+
+def test_fingerprints_and_likeness_equal_a_plain_version(spark):
+    words = [w for w in " ".join(t or "" for t in texts()[7:]).split()]
+    ts = [*texts(), " ".join(words[(i * 7919) % len(words)] + str(i * i % 977) for i in range(120_000)), "\x1f\u00a0 a\x0bb", "wort " * 40]
+    docs = documents(spark, ts).withColumns({c: F.lit("x") for c in ("fp", "next_text", "half", "fingerprint", "edited", "__end")})
+    found = {r["doc_id"]: r for r in rows(fingerprints.compare(docs))}
+    assert len(found) == len(ts)
+    for i, t in enumerate(ts):
+        t, following = t or "", ts[(i - 1) % len(ts)] or ""
+        half = len(t) // 2
+        own, edited, after = (plain_fingerprint(x) for x in (t, t[: len(t) - half] + following[:half], following))
+        assert (found[i]["fingerprint"], found[i]["edited_fingerprint"]) == (own, edited)
+        assert abs(found[i]["near_edited"] - plain_likeness(own, edited)) < 1e-12
+        assert abs(found[i]["near_next"] - plain_likeness(own, after)) < 1e-12
 
 
 def test_anchor_rule(spark):
@@ -70,7 +135,7 @@ def test_anchors_keep_their_places_and_moved_text_is_less_like(spark):
     found = {r["doc_id"]: r for r in rows(fingerprints.compare(documents(spark, ts)))}
     placed = {}
     for i, r in found.items():
-        parts = [(r["anchors"][j : j + 8], int(r["anchors"][j + 8], 16)) for j in range(0, len(r["anchors"]), 9)]
+        parts = [(r["fingerprint"][j : j + 8], int(r["fingerprint"][j + 8], 16)) for j in range(0, len(r["fingerprint"]), 9)]
         at, placed[i] = 0, {}
         for anchor, distance in parts:
             at += distance
