@@ -18,6 +18,8 @@ from inkmill.sources.scratch import settled
 
 #: Scores count to this many places, so that sums of one set of numbers in another order tie.
 PLACES = 9
+#: Postings in a part of the texts; questions (24 bytes each) whose bounds are broadcast.
+PART, SMALL = 500_000, 100_000
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -31,16 +33,16 @@ def collection(texts: DataFrame) -> DataFrame:
     return texts.select(F.expr(f"size({words_sql('text')})").alias("n")).where("n > 0").agg(F.count("*").alias("n_texts"), F.avg("n").alias("mean_words"))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, lead: int = 3, deep: int = 4) -> DataFrame:
+def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, lead: int = 3) -> DataFrame:
     """(question_id, rank, id, score): the k best texts with a positive score for each question (question_id,
     question), ties to the smaller id; exact.  ``index``: postings; ``sizes``: their ``collection``.
 
-    Each term of a question has an upper bound, the greatest score that it gives any text.  The ``deep`` * k best
-    texts by the ``lead`` terms of greatest bound are scored in full; the k-th best of them is a threshold.  Terms
-    whose bounds, the smallest together, stay below it (common words, mostly) cannot bring in a text: candidates come
-    from the lists of the other terms only, those that the small terms cannot lift to the threshold go, and the long
-    lists of the small terms are looked up for the remaining candidates alone.  Candidates are summed where their
-    texts' postings are, so that questions whose terms fit a broadcast shuffle no pair of question and text."""
+    Each term of a question has an upper bound, the greatest score that it gives any text.  The texts' scores by
+    the ``lead`` terms of greatest bound give a threshold, the k-th best of them.  Terms whose bounds, the smallest
+    together, stay below it (common words, mostly) cannot bring in a text: a text without any other term goes, and
+    so does one that they could not lift to the threshold.  Scores are summed where a text's postings are, dealt by
+    text in parts of bounded size, and each part hands on its k best: while the questions' terms fit a broadcast no
+    pair of question and text is shuffled, however common a word is."""
     words = questions.select("question_id", F.explode(F.expr(words_sql("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     wanted = index.join(words.select("term").distinct(), "term", "left_semi")
     part = F.expr(f"tf * {k1 + 1!r}D / (tf + {k1!r}D * ({1 - b!r}D + {b!r}D * n / mean_words))")
@@ -53,26 +55,21 @@ def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k
     up = Window.partitionBy("question_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     asked = settled(asked.select("*", F.row_number().over(down).alias("place"), F.sum("bound").over(up).alias("below")))
 
-    def scored(of: DataFrame, lists: DataFrame) -> DataFrame:
-        own = of.select("question_id", "term", "weight").join(lists.select("term", "id", "part"), "term")
-        return own.groupBy("question_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    total = lambda of: F.sum(F.col("weight") * F.when(of, F.col("part")))
+    by_text = weighed.select("term", "id", "part").repartition(max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weighed.count() // PART)), "id")
 
-    def looked_up(pairs: DataFrame, terms_: DataFrame) -> DataFrame:
-        lists = weighed.select("term", "id", "part").join(pairs.select("id").distinct(), "id", "left_semi")
-        own = pairs.select("question_id", "id").join(terms_.select("question_id", "term", "weight"), "question_id").join(lists, ["term", "id"])
-        return own.groupBy("question_id", "id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    def summed(of: DataFrame, *totals: Column) -> DataFrame:
+        return by_text.join(of, "term").groupBy("question_id", "id").agg(*totals)
 
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    first = scored(asked.where(F.col("place") <= lead), weighed).withColumn("r", F.row_number().over(best)).where(F.col("r") <= deep * k)
-    full = looked_up(settled(first.select("question_id", "id")), asked)
-    edge = full.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("question_id", (F.col("score") - 1e-6).alias("edge"))
+    leading = asked.where(F.col("place") <= lead).select("question_id", "term", "weight")
+    first = summed(leading, total(F.lit(True)).alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    edge = first.where(F.col("r") == k).select("question_id", (F.col("score") - 1e-6).alias("edge"))
     asked = settled(asked.join(edge, "question_id", "left").withColumn("small", F.coalesce(F.col("below") < F.col("edge"), F.lit(False))))
-    rest = asked.where("small").groupBy("question_id").agg(F.sum("bound").alias("rest"), F.first("edge").alias("edge"))
-    by_text = weighed.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    held = scored(asked.where("not small"), by_text).join(rest, "question_id", "left").where("rest is null or score + rest >= edge").select("question_id", "id", "score")
-    held = settled(held)
-    more = looked_up(held, asked.where("small")).withColumnRenamed("score", "more")
-    whole = held.join(more, ["question_id", "id"], "left").select("question_id", "id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), PLACES).alias("score"))
+    rest = asked.groupBy("question_id").agg(F.sum(F.when(F.col("small"), F.col("bound"))).alias("rest"), F.first("edge").alias("edge"))
+    pairs = summed(asked.select("question_id", "term", "weight", "small"), total(~F.col("small")).alias("main"), total(F.col("small")).alias("more")).where("main is not null")
+    held = pairs.join(F.broadcast(rest) if rest.count() <= SMALL else rest, "question_id").where("rest is null or main + rest >= edge")
+    whole = held.select("question_id", "id", F.round(F.col("main") + F.coalesce("more", F.lit(0.0)), PLACES).alias("score"))
     return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("question_id", "rank", "id", "score")
 
 
