@@ -18,7 +18,7 @@ from inkmill.sources.scratch import settled
 
 #: Scores count to this many places, so that sums of one set of numbers in another order tie.
 PLACES = 9
-#: Postings in a part of the texts; questions (24 bytes each) whose bounds are broadcast.
+#: Postings in a part of the texts; words of all questions that are broadcast.
 PART, SMALL = 500_000, 100_000
 
 
@@ -57,10 +57,11 @@ def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k
 
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     total = lambda of: F.sum(F.col("weight") * F.when(of, F.col("part")))
+    near = F.broadcast if asked.count() <= SMALL else lambda of: of
     by_text = weighed.select("term", "id", "part").repartition(max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weighed.count() // PART)), "id")
 
     def summed(of: DataFrame, *totals: Column) -> DataFrame:
-        return by_text.join(of, "term").groupBy("question_id", "id").agg(*totals)
+        return by_text.join(near(of), "term").groupBy("question_id", "id").agg(*totals)
 
     leading = asked.where(F.col("place") <= lead).select("question_id", "term", "weight")
     first = summed(leading, total(F.lit(True)).alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
@@ -68,7 +69,7 @@ def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k
     asked = settled(asked.join(edge, "question_id", "left").withColumn("small", F.coalesce(F.col("below") < F.col("edge"), F.lit(False))))
     rest = asked.groupBy("question_id").agg(F.sum(F.when(F.col("small"), F.col("bound"))).alias("rest"), F.first("edge").alias("edge"))
     pairs = summed(asked.select("question_id", "term", "weight", "small"), total(~F.col("small")).alias("main"), total(F.col("small")).alias("more")).where("main is not null")
-    held = pairs.join(F.broadcast(rest) if rest.count() <= SMALL else rest, "question_id").where("rest is null or main + rest >= edge")
+    held = pairs.join(near(rest), "question_id").where("rest is null or main + rest >= edge")
     whole = held.select("question_id", "id", F.round(F.col("main") + F.coalesce("more", F.lit(0.0)), PLACES).alias("score"))
     return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("question_id", "rank", "id", "score")
 
