@@ -43,7 +43,8 @@ def cosine_pairs(spark, d):
 def apply_removals(spark, d):
     """Pairs below the band of what is kept: the second of each is removed."""
     own = _vectors(spark, d).select(F.col("id").cast("string").alias("id"), "book", F.col("book").cast("string").alias("definition"))
-    pairs = vector.similar_pairs(_vectors(spark, d), 0.3).select(F.col("id1").cast("string").alias("node1_id"), F.col("id2").cast("string").alias("node2_id"), F.round("similarity", 6).alias("confidence"))
+    items = _vectors(spark, d).withColumn("len", F.length(F.col("book").cast("string")))
+    pairs = vector.similar_pairs(items, 0.3).select(F.col("id1").cast("string").alias("node1_id"), F.col("id2").cast("string").alias("node2_id"), F.round("similarity", 6).alias("confidence"), "len1", "len2")
     return integrate.apply_decisions(own, integrate.decide(pairs, own)).select("id", "book")
 
 
