@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkmill import workflows
 from inkmill.operators import embed, integrate, vector
 from tests.test_vectors import sparse_table
 
@@ -75,3 +76,16 @@ def test_sparse_rows_of_one_book_or_none(spark):
     _, df = sparse_table(spark)
     assert vector.similar_pairs(df.withColumn("book", F.lit("b")), 0.5, block=16).count() == 0
     assert vector.similar_pairs(df.withColumn("book", F.lit(None).cast("string")), 0.5).count() == 0
+
+
+def test_aligned_pairs_are_shuffled_only_to_be_ordered(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i % 2)]) for i in range(8)], "id long, vector array<double>")
+    nodes = spark.createDataFrame([(i, f"b{i % 2}", f"name {i}", f"text {i}") for i in range(8)], "id long, textbook_id string, name string, definition string")
+    for ordered, exchanges in ((True, 1), (False, 0)):
+        found = workflows.align(nodes, vectors, ["b1", "b0"], 0.7, ordered=ordered)
+        above = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+        assert above.count("Exchange") == exchanges and "Join" not in above
+        rows = found.collect()
+        assert rows and all(r["node1_name"] == f"name {r['node1_id']}" and r["node2_name"] == f"name {r['node2_id']}" and r["book1"] == "b1" for r in rows)
+    asked = workflows.align(nodes, vectors, ["b1", "b0"], 0.7, provider=lambda prompts: ['{"is_equivalent": true, "reason": "' + p.split("text ")[-1][0] + '"}' for p in prompts])
+    assert all(r["is_equivalent"] and r["reason"] == str(r["node2_id"]) for r in asked.collect())
