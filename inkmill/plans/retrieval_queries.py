@@ -38,9 +38,8 @@ def _vectors(spark, d, k=10):
     """The nearest chunks by TF-IDF cosine."""
     chunks = _chunks(spark, d)
     vocabulary = embed.tfidf_fit(chunks)
-    side = lambda t: embed.dense(embed.tfidf_sparse(t, vocabulary))
-    asked = side(_questions(spark, d).select(F.col("question_id").alias("query_id"), F.col("question").alias("text")))
-    hits = vector.top_k_batch(side(chunks), asked, k, skip_self=False, places=9)
+    asked = embed.tfidf_sparse(_questions(spark, d).select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), vocabulary)
+    hits = vector.top_k_batch(embed.tfidf_sparse(chunks, vocabulary), asked, k, skip_self=False, places=9)
     return hits.withColumnsRenamed({"query_id": "question_id", "similarity": "score"})
 
 
@@ -110,7 +109,7 @@ SELECT config, count(*) AS questions, round(avg(coalesce(found / n, 0)), 6) AS r
 FROM (SELECT DISTINCT config FROM ranked) CROSS JOIN ideal LEFT JOIN hit USING (config, question_id) GROUP BY config""")
 def retrieval_quality(spark, d):
     """The three ways of retrieval compared on the benchmark."""
-    keyword, near = _bm25(spark, d), _vectors(spark, d)
+    keyword, near = scratch.settled(_bm25(spark, d)), scratch.settled(_vectors(spark, d))  # several lists read them
     lists = {"bm25": keyword, "vectors": near, "fused": retrieval.fuse([keyword, near], 10)}
     ranked = None
     for name, found in lists.items():
