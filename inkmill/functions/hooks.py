@@ -1,6 +1,6 @@
 """Steps that want a language model, as replaceable functions with deterministic offline defaults.
 
-A provider maps prompts to answers, a list at a time.  It runs inside ``mapInPandas``, after every
+A provider maps prompts to answers, a list at a time.  It runs inside ``mapInArrow``, after every
 filter, so only rows that need an answer pay for one; failures give the documented fall-backs.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +50,25 @@ def with_retries(provider: Provider, attempts: int = 3, together: int = 16) -> C
     return ask
 
 
+#: Prompts that a task holds as text at a time, with their answers.
+AT_ONCE = 256
+
+
 def answers(prompts: DataFrame, provider: Provider, attempts: int = 3) -> DataFrame:
-    """``prompts`` (with a column prompt) and their ``answer``, or null and the ``error``."""
+    """``prompts`` (with a column prompt) and their ``answer``, or null and the ``error``.  Of a batch ``AT_ONCE``
+    prompts at a time become text; other columns pass through as they are."""
     ask = with_retries(provider, attempts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = ask(pdf["prompt"].tolist())
-            yield pdf.assign(answer=[a for a, _ in found], error=[e for _, e in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                own = batch.slice(begin, AT_ONCE)
+                found = ask(own.column("prompt").to_pylist())
+                told = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *told], names=[*own.schema.names, "answer", "error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{ddl}, answer string, error string")
+    return prompts.mapInArrow(run, f"{ddl}, answer string, error string")
 
 
 def dense_encoder(model: Callable[[list[str]], list[list[float]]], together: int = 64) -> Callable[[DataFrame], DataFrame]:
