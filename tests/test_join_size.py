@@ -89,3 +89,71 @@ def test_aligned_pairs_are_shuffled_only_to_be_ordered(spark):
         assert rows and all(r["node1_name"] == f"name {r['node1_id']}" and r["node2_name"] == f"name {r['node2_id']}" and r["book1"] == "b1" for r in rows)
     asked = workflows.align(nodes, vectors, ["b1", "b0"], 0.7, provider=lambda prompts: ['{"is_equivalent": true, "reason": "' + p.split("text ")[-1][0] + '"}' for p in prompts])
     assert all(r["is_equivalent"] and r["reason"] == str(r["node2_id"]) for r in asked.collect())
+
+
+def words_table(spark, n=150):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "black", "white", "grey"], size=3 + i % 3)) for i in range(n)]
+    return spark.createDataFrame([(i, f"b{i % 3}", t) for i, t in enumerate(texts)], "id long, book string, text string")
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_counts_join_as_weights_do_and_are_what_is_copied(spark, block):
+    texts = words_table(spark)
+    vocabulary = embed.tfidf_fit(texts, 12)
+    plain = {(r["id1"], r["id2"]): r["similarity"] for r in vector.similar_pairs(embed.tfidf_sparse(texts, vocabulary), 0.8, block=block).collect()}
+    items, idf = embed.tfidf_counts(texts, vocabulary)
+    found = vector.similar_pairs(items, 0.8, block=block, idf=idf)
+    assert len(plain) > 100 and {(r["id1"], r["id2"]): r["similarity"] for r in found.collect()} == pytest.approx(plain)
+    if block == 16:  # by blocks: no weight of eight bytes is copied, only a place and a count
+        copied = vector.similar_pairs(items, 0.3, block=block, idf=idf)._jdf.queryExecution().analyzed().children().head()
+        kinds = {f.name(): f.dataType().catalogString() for f in (copied.schema().apply(i) for i in range(copied.schema().size()))}
+        assert kinds["p"] == "array<smallint>" and kinds["x"] == "array<int>"
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("by", [["id2"], ["book1", "book2"], ["id1", "book2"]])
+def test_pairs_told_together(spark, by, block):
+    texts = words_table(spark)
+    items, idf = embed.tfidf_counts(texts, embed.tfidf_fit(texts, 12))
+    edges = (0.85, 0.95)
+    want = {}
+    for r in vector.similar_pairs(items, 0.8, block=block, idf=idf).collect():
+        want.setdefault((*(r[c] for c in by), sum(r["similarity"] >= e for e in edges)), []).append(r["similarity"])
+    got = vector.similar_pairs(items, 0.8, block=block, idf=idf, by=by, edges=edges).collect()
+    assert len(got) == len(want) > 3
+    for r in got:
+        s = want[(*(r[c] for c in by), r["band"])]
+        assert r["n"] == len(s) and (r["total"], r["least"], r["most"]) == pytest.approx((sum(s), min(s), max(s)))
+    assert vector.similar_pairs(items.limit(0), 0.8, idf=idf, by=by).collect() == []
+
+
+def test_outcome_of_pairs_told_together(spark):
+    """Rounded confidences decide, and the outcome is that of one decision a pair."""
+    close = [0.9, 0.8999995, 0.89999949, 0.7, 0.6999995, 0.69999949, 0.3]
+    pairs = spark.createDataFrame([(i % 2, 10 + i % 3, s) for i, s in enumerate(close)], "id1 long, id2 long, s double")
+    band = " + ".join(f"int(s >= {e!r}D)" for e in integrate.EDGES)
+    told = pairs.groupBy("id2", F.expr(band).alias("band")).agg(F.count("*").alias("n"), F.sum("s").alias("total"), F.min("s").alias("least"), F.max("s").alias("most"))
+    each = integrate.decide(pairs.select(F.col("id1").cast("string").alias("node1_id"), F.col("id2").cast("string").alias("node2_id"), F.round("s", 6).alias("confidence"), F.lit(1).alias("len1"), F.lit(1).alias("len2")), pairs)
+    outcome = integrate.told_outcome(told)
+    assert tuple(integrate.decision_counts(outcome).first()) == tuple(integrate.decision_counts(each).first()) == (7, 2, 3, 2)
+    gone = lambda d: sorted(r["id"] for r in integrate.removed_ids(d).collect())
+    assert gone(outcome) == gone(each)
+
+
+def test_compression_figures_move_no_text(spark):
+    from inkmill.plans.registry import QUERIES
+
+    plan = QUERIES["compression_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan
+    for part in plan.split("Exchange hashpartitioning(")[1:]:
+        beneath = next(line for line in part.splitlines()[1:] if "- " in line)
+        assert "definition" not in beneath and "text#" not in beneath.split("length(text")[0]
+
+
+def test_only_few_partitions_are_dealt_anew(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).select(F.col("id").cast("string").alias("text"))
+    assert embed.spread(one.coalesce(1)).rdd.getNumPartitions() == 2 * cores
+    nearly = one.repartition(cores // 2 + 1)
+    assert embed.spread(nearly) is nearly
