@@ -157,3 +157,29 @@ def test_only_few_partitions_are_dealt_anew(spark):
     assert embed.spread(one.coalesce(1)).rdd.getNumPartitions() == 2 * cores
     nearly = one.repartition(cores // 2 + 1)
     assert embed.spread(nearly) is nearly
+
+
+def test_rows_are_moved_once(spark):
+    """The join of blocks shuffles no copies: every two blocks meet where they are kept, each block is one row."""
+    texts = words_table(spark)
+    items, idf = embed.tfidf_counts(texts, embed.tfidf_fit(texts, 12))
+    found = vector.similar_pairs(items, 0.3, block=16, idf=idf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    packed = vector._packed(items.withColumnsRenamed({"at": "p", "n": "x"}), 10)
+    blocks = packed.select(F.size("id").alias("n")).collect()
+    assert len(blocks) <= 10 and sum(r["n"] for r in blocks) == 150
+    told = vector.similar_pairs(items, 0.3, block=16, idf=idf, by=["id2"])
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_blocks_keep_what_rows_bring(spark):
+    """Nulls, names, arrays and rows without words come through the blocks."""
+    rows = [(i, None if i % 7 == 0 else f"b{i % 3}", [i % 3, 3], [1, 2 + i % 2], None if i % 5 == 0 else f"né {i}", [i] * (i % 3)) for i in range(60)]
+    items = spark.createDataFrame([*rows, (60, "b0", [], [], "none", [])], "id long, book string, p array<smallint>, x array<int>, name string, tags array<int>")
+    packed = vector._packed(items, 4).toArrow().to_batches(max_chunksize=1)
+    got = {r["id"]: r for k in packed if k.num_rows for r in vector._unpacked(k, "").to_pylist()}
+    assert got == {r[0]: dict(zip(items.columns, r)) for r in [*rows, (60, "b0", [], [], "none", [])]}
+    assert vector._packed(items.limit(0), 4).count() == 0
+    found = vector.similar_pairs(items.withColumnsRenamed({"p": "at", "x": "n"}), 0.5, block=8, idf=[1.0, 1.0, 1.0, 1.0]).collect()
+    assert found and all(r["name1"] == (None if r["id1"] % 5 == 0 else f"né {r['id1']}") and r["tags2"] == [r["id2"]] * (r["id2"] % 3) and r["book1"] < r["book2"] for r in found)
