@@ -119,49 +119,71 @@ class Network:
             np.zeros(filters, np.float32), rng.normal(0, 0.1, 3 * filters + 1).astype(np.float32),
         )
 
+    def _pooled(self, rows: np.ndarray, h: np.ndarray):
+        """The rectified filters ``h``, set to zero where nothing was read, pooled; they are changed in place."""
+        taps = len(self.kernel)
+        real = rows[:, taps // 2 : taps // 2 + h.shape[1]] != _PAD
+        np.maximum(h, 0, out=h)
+        h *= real[:, :, None]
+        begin, end = LEFT - taps // 2, LEFT + SPAN - taps // 2
+        inside, outside = h[:, begin:end], (h[:, :begin], h[:, end:])
+        n = np.maximum(real[:, begin:end].sum(axis=1), 1)[:, None].astype(np.float32)
+        high, low = inside.max(axis=1), np.maximum(*(o.max(axis=1) for o in outside))
+        pooled = np.concatenate([high, inside.sum(axis=1) / n, low, np.ones((len(rows), 1))], axis=1).astype(np.float32)
+        return real, n, pooled
+
     def _forward(self, rows: np.ndarray):
         taps = len(self.kernel)
         code = rows.astype(np.int64) + _ZONE
         x = self.embed[code]
         wide = np.concatenate([x[:, j : WIDTH - taps + 1 + j] for j in range(taps)], axis=2)
-        h = np.maximum(wide @ self.kernel.reshape(-1, self.kernel.shape[2]) + self.bias, 0)
-        middle = np.arange(h.shape[1]) + taps // 2
-        real = rows[:, taps // 2 : taps // 2 + h.shape[1]] != _PAD
-        inside = real & (middle >= LEFT) & (middle < LEFT + SPAN)
-        outside = real & ~inside
-        high, low = (np.where(m[:, :, None], h, -1.0) for m in (inside, outside))
-        n = np.maximum(inside.sum(axis=1), 1)[:, None].astype(np.float32)
-        pooled = np.concatenate([np.maximum(high.max(axis=1), 0), (h * inside[:, :, None]).sum(axis=1) / n, np.maximum(low.max(axis=1), 0), np.ones((len(rows), 1))], axis=1).astype(np.float32)
-        return code, wide, h, inside, high, low, n, pooled
+        h = wide @ self.kernel.reshape(-1, self.kernel.shape[2])
+        h += self.bias
+        return code, wide, h, *self._pooled(rows, h)
 
-    def logits(self, rows: np.ndarray, batch: int = 1024) -> np.ndarray:
-        return np.concatenate([self._forward(rows[i : i + batch])[-1] @ self.out for i in range(0, len(rows), batch)]) if len(rows) else np.zeros(0, np.float32)
+    def logits(self, rows: np.ndarray, batch: int = 128) -> np.ndarray:
+        """Outputs.  What a filter makes of a character at each of its places is looked up: there are few characters."""
+        taps = len(self.kernel)
+        each = [np.ascontiguousarray(self.embed @ k) for k in self.kernel]
+        out = []
+        for i in range(0, len(rows), batch):
+            own = rows[i : i + batch]
+            code = own + _ZONE
+            h = each[0].take(code[:, : WIDTH - taps + 1], axis=0)
+            for j in range(1, taps):
+                h += each[j].take(code[:, j : WIDTH - taps + 1 + j], axis=0)
+            h += self.bias
+            out.append(self._pooled(own, h)[-1] @ self.out)
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * logit.astype(np.float64) + b, -60, 60)))
 
     def gradients(self, rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        code, wide, h, inside, high, low, n, pooled = self._forward(rows)
+        code, wide, h, real, n, pooled = self._forward(rows)
         p = 1 / (1 + np.exp(-np.clip(pooled @ self.out, -30, 30)))
         error = ((p - label) * weight / weight.sum()).astype(np.float32)
         back = error[:, None] * self.out[None]
+        taps, e = self.kernel.shape[:2]
+        begin, end = LEFT - taps // 2, LEFT + SPAN - taps // 2
         f, each = h.shape[2], np.arange(len(rows))[:, None]
-        dh = (back[:, None, f : 2 * f] / n[:, :, None]) * inside[:, :, None]
-        for block, which in ((0, high), (2, low)):
-            top = which.argmax(axis=1)
-            dh[each, top, np.arange(f)[None]] += back[:, block * f : (block + 1) * f] * (which.max(axis=1) > 0)
-        dh = np.where(h > 0, dh, 0).astype(np.float32)
+        dh = np.zeros_like(h)
+        dh[:, begin:end] = (back[:, None, f : 2 * f] / n[:, :, None]) * real[:, begin:end, None]
+        left, right = h[:, :begin], h[:, end:]
+        at_left, at_right = left.argmax(axis=1), right.argmax(axis=1)
+        first = left.max(axis=1) >= right.max(axis=1)
+        for block, top in ((0, begin + h[:, begin:end].argmax(axis=1)), (2, np.where(first, at_left, end + at_right))):
+            dh[each, top, np.arange(f)[None]] += back[:, block * f : (block + 1) * f] * (pooled[:, block * f : (block + 1) * f] > 0)
+        dh *= h > 0
         flat = dh.reshape(-1, f)
         dk = wide.reshape(len(flat), -1).T @ flat
         dwide = dh @ self.kernel.reshape(-1, f).T
-        taps, e = self.kernel.shape[:2]
-        dembed = np.zeros_like(self.embed)
+        dx = np.zeros((*code.shape, e), np.float32)
         for j in range(taps):
-            own = code[:, j : j + h.shape[1]].ravel()
-            part = dwide[:, :, j * e : (j + 1) * e].reshape(-1, e)
-            for c in range(e):
-                dembed[:, c] += np.bincount(own, part[:, c], minlength=len(dembed))
+            dx[:, j : j + h.shape[1]] += dwide[:, :, j * e : (j + 1) * e]
+        at = (code[:, :, None] * e + np.arange(e)).ravel()
+        dembed = np.bincount(at, dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape).astype(self.embed.dtype)
         return [dembed, dk.reshape(self.kernel.shape), flat.sum(axis=0), pooled.T @ error]
 
 

@@ -104,6 +104,18 @@ def test_gradients():
             assert (up - down) / (2 * step) == pytest.approx(g[at], abs=2e-3, rel=0.1)
 
 
+def test_outputs_are_looked_up(monkeypatch):
+    """Outputs for a scan do not go through what training needs, and are the same."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, ss.CLASSES, size=(300, ss.WIDTH)).astype(np.uint8)
+    x[::3, ss.LEFT + 12 : ss.LEFT + ss.SPAN] = ss._PAD
+    x[5] = ss._PAD
+    net = ss.Network.fresh()
+    want = net._forward(x)[-1] @ net.out
+    monkeypatch.setattr(ss.Network, "_forward", None)
+    assert np.allclose(net.logits(x), want, atol=1e-5) and len(net.logits(x[:0])) == 0
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
