@@ -27,7 +27,7 @@ def _among(x: str, terms: list[str]) -> str:
 TEXTS, COUNTS = 1024, 1 << 20
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The words of texts in lower case, one after the other, and each one's row: runs of two or more letters, digits and _."""
     split = pc.split_pattern_regex(texts, r"[^\pL\pN_]+")
     row, word = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(split), 0).to_numpy()), split.flatten()
@@ -37,21 +37,26 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _keys(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all occurrences of k known words, by their places, and of pairs a, b of neighbours among these, as k + a * k + b."""
-    row, word = _words(texts)
+    row, word = words_in(texts)
     code, k = pc.fill_null(pc.index_in(word, value_set=known), -1).to_numpy().astype(np.int64), len(known)
     one, two = code >= 0, (code[:-1] >= 0) & (code[1:] >= 0) & (row[:-1] == row[1:])
     return np.concatenate([row[one], row[:-1][two]]), np.concatenate([code[one], k + code[:-1][two] * k + code[1:][two]])
 
 
-def _lowered(texts: DataFrame, *others: str) -> DataFrame:
-    """``texts`` for a task that reads their words: in lower case, few at a time, as they may be long."""
+def few(texts: DataFrame) -> DataFrame:
+    """``texts``, which go to a task few at a time, as they may be long."""
     conf = texts.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2 * TEXTS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * TEXTS))
-    return texts.select(*others, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lowered(texts: DataFrame, *others: str) -> DataFrame:
+    """``texts`` for a task that reads their words, in lower case."""
+    return few(texts).select(*others, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, TEXTS):
             yield batch.slice(begin, TEXTS)
@@ -61,11 +66,11 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     """(term, tf) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
-            counted = pc.value_counts(_words(piece["text"])[1])
+        for piece in pieces(batches):
+            counted = pc.value_counts(words_in(piece["text"])[1])
             yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["term", "n"])
 
-    return _lowered(texts).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("tf"))
+    return lowered(texts).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("tf"))
 
 
 def _term_counts(texts: DataFrame, often: list[str]) -> DataFrame:
@@ -88,7 +93,7 @@ def _term_counts(texts: DataFrame, often: list[str]) -> DataFrame:
             term = pc.if_else(pa.array(one), known.take(pa.array(np.where(one, key, 0))), term)
             return pa.RecordBatch.from_arrays([term, pa.array(counts[1]), pa.array(counts[2])], names=["term", "tf", "df"])
 
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             row, key = _keys(piece["text"], known)
             each, n = np.unique(row * (k + k * k) + key, return_counts=True)
             held.append(added([np.stack([each % (k + k * k), n, np.ones_like(n)])]))
@@ -99,7 +104,7 @@ def _term_counts(texts: DataFrame, often: list[str]) -> DataFrame:
                     held = [np.zeros((3, 0), np.int64)]
         yield told(added(held))
 
-    counted = _lowered(texts).mapInArrow(run, "term string, tf long, df long") if k else texts.sparkSession.createDataFrame([], "term string, tf long, df long")
+    counted = lowered(texts).mapInArrow(run, "term string, tf long, df long") if k else texts.sparkSession.createDataFrame([], "term string, tf long, df long")
     return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
@@ -165,7 +170,7 @@ def tfidf_counts(texts: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, li
         at, k = {w: i for i, w in enumerate(known)}, len(known)
         key = np.array([at[t] if t in at else k + at[t.split(" ")[0]] * k + at[t.split(" ")[1]] for t in terms])
         order = np.argsort(key)
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             row, found = _keys(piece["text"], pa.array(known, pa.string()))
             near = np.minimum(np.searchsorted(key[order], found), len(terms) - 1)
             own = key[order][near] == found
@@ -175,7 +180,7 @@ def tfidf_counts(texts: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, li
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, n)]
             yield pa.RecordBatch.from_arrays([*(piece[c] for c in others), *lists], names=[*others, "at", "n"])
 
-    return _lowered(spread(texts), *others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "at array<int>, n array<int>"])), [float(x) for _, x in known]
+    return lowered(spread(texts), *others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "at array<int>, n array<int>"])), [float(x) for _, x in known]
 
 
 def tfidf_sparse(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -10,10 +10,15 @@ over a question's words, repeats included.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.operators.embed import counted_sql, spread, words_sql
+from inkmill.operators.embed import few, lowered, pieces, spread, words_in, words_sql
 from inkmill.sources.scratch import settled
 
 #: Scores count to this many places, so that sums of one set of numbers in another order tie.
@@ -22,15 +27,82 @@ PLACES = 9
 PART, SMALL = 500_000, 100_000
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(term, id, tf, n) of texts (id, text): within the row, nothing is shuffled.  Null texts have none."""
-    rows = spread(texts).select("id", F.expr(words_sql("text")).alias("__u"))
-    return rows.select(F.inline(F.expr(counted_sql("__u"))).alias("term", "tf"), "id", F.size("__u").cast("long").alias("n")).select("term", "id", F.col("tf").cast("long").alias("tf"), "n")
+def postings(texts: DataFrame, among: list[str] | None = None) -> DataFrame:
+    """(term, id, tf, n) of texts (id, text), of these terms if they are told: within the task, nothing is shuffled.  Null
+    texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if among is None else pa.array(among, pa.string())
+        for piece in pieces(batches):
+            row, word = words_in(piece["text"])
+            n = np.bincount(row, minlength=piece.num_rows)
+            if known is None:
+                coded = word.dictionary_encode()
+                terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            else:
+                terms, code = known, pc.fill_null(pc.index_in(word, value_set=known), -1).to_numpy().astype(np.int64)
+                row, code = row[code >= 0], code[code >= 0]
+            each, tf = np.unique(row * max(1, len(terms)) + code, return_counts=True)
+            row, code = np.divmod(each, max(1, len(terms)))
+            yield pa.RecordBatch.from_pydict({"term": terms.take(pa.array(code)), "id": piece["id"].take(pa.array(row)), "tf": pa.array(tf), "n": pa.array(n[row])})
+
+    return lowered(spread(texts.select("id", "text")), "id").mapInArrow(run, f"term string, id {dict(texts.dtypes)['id']}, tf long, n long")
+
+
+def terms_asked(questions: DataFrame) -> list[str] | None:
+    """The words of all questions (question_id, question), or None if they are more than may be shared with tasks."""
+    words = questions.select(F.explode(F.expr(words_sql("question"))).alias("term")).distinct().limit(SMALL + 1).collect()
+    return sorted(r["term"] for r in words) if len(words) <= SMALL else None
 
 
 def collection(texts: DataFrame) -> DataFrame:
     """One row (n_texts, mean_words) of texts that have words."""
-    return texts.select(F.expr(f"size({words_sql('text')})").alias("n")).where("n > 0").agg(F.count("*").alias("n_texts"), F.avg("n").alias("mean_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            n = np.bincount(words_in(piece["text"])[0], minlength=piece.num_rows)
+            yield pa.RecordBatch.from_pydict({"texts": pa.array([int((n > 0).sum())]), "words": pa.array([int(n.sum())])})
+
+    counted = lowered(texts.select("text")).mapInArrow(run, "texts long, words long").agg(F.coalesce(F.sum("texts"), F.lit(0).cast("long")).alias("n_texts"), F.sum("words").alias("words"))
+    return counted.select("n_texts", F.when(F.col("n_texts") > 0, F.col("words") / F.col("n_texts")).alias("mean_words"))
+
+
+def holding(texts: DataFrame, runs: list[str], size: int, blank: str) -> DataFrame:
+    """(id, run) of texts (id, text) that have a run in a row: ``size`` words, joined by a space, or all words of a text that
+    has fewer.  Words are parted by ``blank``, a pattern.  The runs, which differ, are shared with the tasks."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted({w for r in runs for w in r.split(" ")})
+        at, other, none = {w: i for i, w in enumerate(known)}, len(known), len(known) + 1
+        wanted = np.full((len(runs), size), none)
+        for i, r in enumerate(runs):
+            own = [at[w] for w in r.split(" ")]
+            wanted[i, : len(own)] = own
+        may = np.zeros((size, len(known) + 2), bool)
+        may[np.arange(size), wanted] = True
+        named = {w.tobytes(): i for i, w in enumerate(wanted)}
+        value_set, told = pa.array(known, pa.string()), pa.array(runs, pa.string())
+        for piece in pieces(batches):
+            split = pc.split_pattern_regex(piece["text"], blank)
+            row, word = np.repeat(np.arange(piece.num_rows), pc.fill_null(pc.list_value_length(split), 0).to_numpy()), split.flatten()
+            some = pc.greater(pc.binary_length(word), 0).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(word, value_set=value_set), other).to_numpy().astype(np.int64)[some]
+            row = row[some]
+            n = np.bincount(row, minlength=piece.num_rows)
+            first = np.cumsum(n) - n
+            place, own = np.arange(len(row)), n[row]
+            # a run begins where the text has as many words left, or with all words of a short text
+            begin = np.flatnonzero((place - first[row] <= np.maximum(own - size, 0)) & may[0, code])
+            for k in range(1, size):
+                begin = begin[may[k, np.where(begin + k < first[row[begin]] + own[begin], code[np.minimum(begin + k, len(code) - 1)], none)]]
+            window = np.full((len(begin), size), none)
+            for k in range(size):
+                inside = begin + k < first[row[begin]] + own[begin]
+                window[inside, k] = code[begin[inside] + k]
+            found = sorted({(int(row[b]), named[w.tobytes()]) for b, w in zip(begin, window) if w.tobytes() in named})
+            yield pa.RecordBatch.from_pydict({"id": piece["id"].take(pa.array([r for r, _ in found], pa.int64())), "run": told.take(pa.array([i for _, i in found], pa.int64()))})
+
+    return few(spread(texts.select("id", "text"))).mapInArrow(look, f"id {dict(texts.dtypes)['id']}, run string")
 
 
 def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, lead: int = 3) -> DataFrame:

@@ -30,8 +30,8 @@ def _questions(spark, d):
 
 
 def _bm25(spark, d, k=10):
-    chunks = _chunks(spark, d)
-    return retrieval.bm25(retrieval.postings(chunks), retrieval.collection(chunks), _questions(spark, d), k)
+    chunks, asked = _chunks(spark, d), _questions(spark, d)
+    return retrieval.bm25(retrieval.postings(chunks, retrieval.terms_asked(asked)), retrieval.collection(chunks), asked, k)
 
 
 def _vectors(spark, d, k=10):
@@ -93,8 +93,12 @@ _WORDS = r"list_filter(regexp_split_to_array({0}, '[ \t-\r]+'), lambda w: w <> '
 def _judged(spark, d):
     """A chunk is relevant to an item, with gain 2, if it holds the item's first eight words in a row."""
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.expr(_OPENING.format("text")).alias("opening")).where("opening <> ''")
-    words = _chunks(spark, d).select("id", F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')").alias("w"))
-    windows = words.select("id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 7, 1)), i -> array_join(slice(w, i, 8), ' ')))")).alias("opening"))
+    openings = items.select("opening").distinct().limit(retrieval.SMALL + 1).collect()
+    if len(openings) <= retrieval.SMALL:
+        windows = retrieval.holding(_chunks(spark, d), sorted(r["opening"] for r in openings), 8, r"[ \t-\r]+").withColumnRenamed("run", "opening")
+    else:
+        words = _chunks(spark, d).select("id", F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')").alias("w"))
+        windows = words.select("id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 7, 1)), i -> array_join(slice(w, i, 8), ' ')))")).alias("opening"))
     return windows.join(items, "opening").select("question_id", "id", F.lit(2).alias("gain"))
 
 

@@ -79,3 +79,28 @@ def test_evaluation(spark):
     assert got["a"]["questions"] == got["b"]["questions"] == 2
     assert [got["a"][c] for c in ("recall", "mrr", "ndcg")] == pytest.approx([0.5, 0.5, (1 + 3 / math.log2(3)) / ideal / 2])
     assert [got["b"][c] for c in ("recall", "mrr", "ndcg")] == pytest.approx([0.25, 1 / 6, 3 / 2 / ideal / 2])
+
+
+def test_runs_of_words_held(spark):
+    """Whole runs, at either end, across rows not, and short texts as a whole."""
+    texts = ["a b c d", "x a b c", "a  b\tc\n", "a b", " a b ", "b a b c a b c", "a b x c", "", None, "c", "aa b c", "a b c\u00a0d"]
+    runs = ["a b", "a b c", "b c d", "c", "z z z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = set()
+    for i, t in enumerate(texts):
+        u = [w for w in re.split("[ \t-\r]+", t or "") if w]
+        want |= {(i, r) for r in runs for j in range(max(1, len(u) - 2)) if u and " ".join(u[j : j + 3]) == r}
+    got = [tuple(r) for r in retrieval.holding(df, runs, 3, "[ \\t-\\r]+").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 8
+
+
+def test_only_terms_asked_leave_the_task(spark, words):
+    df = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    asked = spark.createDataFrame([(1, "w0x W3x unknown"), (2, None)], "question_id long, question string")
+    terms = retrieval.terms_asked(asked)
+    assert terms == ["unknown", "w0x", "w3x"]
+    whole = {tuple(r) for r in retrieval.postings(df).collect()}
+    assert {tuple(r) for r in retrieval.postings(df, terms).collect()} == {r for r in whole if r[0] in terms}
+    u = {i: re.findall(r"\w\w+", t.lower()) for i, t in enumerate(words) if t}
+    assert whole == {(w, i, n, len(v)) for i, v in u.items() for w, n in Counter(v).items()}
+    assert retrieval.collection(df.limit(0)).collect()[0]["n_texts"] == 0
